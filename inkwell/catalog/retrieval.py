@@ -154,8 +154,8 @@ def _vector_sums():
 kept AS (SELECT "Id", "NewsHeadline" || ' ' || "ShortDescription" AS details, "NewsDate", "NewsCategory" FROM news
   WHERE "Id" NOT IN (SELECT "Id" FROM news ORDER BY "Id" DESC LIMIT {fixed.HOLDOUT_ROWS})),
 {st.vectors_sql('kv', 'kept', '"Id"', 'details')}
-SELECT CAST("Id" AS VARCHAR) AS id, strftime("NewsDate", '%Y-%m-%d') AS news_date, "NewsCategory" AS news_category,
-  count(*) AS n_places, round(sum(v * (pos + 1)), 4) AS checksum FROM kept JOIN kv ON kv.id = "Id" GROUP BY ALL""",
+SELECT CAST(kept."Id" AS VARCHAR) AS id, strftime("NewsDate", '%Y-%m-%d') AS news_date, "NewsCategory" AS news_category,
+  count(*) AS n_places, round(sum(v * (pos + 1)), 4) AS checksum FROM kept JOIN kv ON kv.id = kept."Id" GROUP BY ALL""",
 )
 def corpus_build(spark, sf_dir):
     records = corpora.news_corpus(st.news(spark, sf_dir))
@@ -169,8 +169,8 @@ def corpus_build(spark, sf_dir):
 kept AS (SELECT "Id", concat("QuestionAsked", ' ', "OutputAnswer") AS pair FROM code_qa
   WHERE "DataSplit" = 'Training' AND length(concat("QuestionAsked", "OutputAnswer")) < {fixed.SHORT_PAIR_CHARS}),
 {st.vectors_sql('kv', 'kept', '"Id"', 'pair')}
-SELECT CAST("Id" AS VARCHAR) AS id, 'Python Q&A' AS info, count(*) AS n_places, round(sum(v * (pos + 1)), 4) AS checksum
-FROM kept JOIN kv ON kv.id = "Id" GROUP BY ALL""",
+SELECT CAST(kept."Id" AS VARCHAR) AS id, 'Python Q&A' AS info, count(*) AS n_places, round(sum(v * (pos + 1)), 4) AS checksum
+FROM kept JOIN kv ON kv.id = kept."Id" GROUP BY ALL""",
 )
 def qa_corpus(spark, sf_dir):
     records = corpora.pair_corpus(st.code_qa(spark, sf_dir))

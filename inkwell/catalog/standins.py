@@ -242,12 +242,14 @@ def bm25_sql(name: str, questions_sql: str, docs: str, doc_id: str, text: str) -
     """(query_id, match_id, score) for every question and document that share a term."""
     split = lambda col: f"list_filter(string_split_regex(lower({col}), '[^a-z0-9]+'), lambda t: t <> '')"
     return f"""{name}_terms AS (SELECT id AS query_id, unnest(list_distinct({split('text')})) AS term FROM ({questions_sql})),
-{name}_words AS (SELECT {doc_id} AS match_id, len({split(text)}) AS length, unnest({split(text)}) AS term FROM {docs}),
-{name}_tf AS (SELECT match_id, length, term, CAST(count(*) AS DOUBLE) AS tf FROM {name}_words GROUP BY ALL),
-{name}_mean AS (SELECT count(*) AS n, avg(len({split(text)})) AS mean FROM {docs}),
+{name}_lists AS MATERIALIZED (SELECT {doc_id} AS match_id, {split(text)} AS ws FROM {docs}),
+{name}_sizes AS MATERIALIZED (SELECT match_id, len(ws) AS length FROM {name}_lists),
+{name}_words AS (SELECT match_id, unnest(ws) AS term FROM {name}_lists),
+{name}_tf AS MATERIALIZED (SELECT match_id, term, CAST(count(*) AS DOUBLE) AS tf FROM {name}_words GROUP BY ALL),
+{name}_mean AS (SELECT count(*) AS n, avg(length) AS mean FROM {name}_sizes),
 {name}_idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM {name}_tf, {name}_mean GROUP BY term),
 {name} AS (SELECT query_id, match_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
-  FROM {name}_terms JOIN {name}_tf USING (term) JOIN {name}_idf USING (term), {name}_mean GROUP BY ALL)"""
+  FROM {name}_terms JOIN {name}_tf USING (term) JOIN {name}_idf USING (term) JOIN {name}_sizes USING (match_id), {name}_mean GROUP BY ALL)"""
 
 
 # ---- judged attempts from documents and labels --------------------------------------------------

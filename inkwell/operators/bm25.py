@@ -14,6 +14,7 @@ from inkwell.functions.text import tokens
 from inkwell.operators.knn import rank_matches
 from inkwell.operators.skew import HOT_ROWS, broadcast_if_small, is_small, join_unique
 from inkwell.operators.topk import SCORE_DIGITS, TopK
+from inkwell.session import stage
 
 K1 = 1.2
 B = 0.75
@@ -32,15 +33,23 @@ def question_terms(questions: DataFrame, id_col: str, text_col: str) -> DataFram
 def corpus_weights(docs: DataFrame, text_col: str, terms: DataFrame) -> tuple[DataFrame, float]:
     """(term, idf) for the asked terms, and the mean document length in tokens.
 
-    Document counts are summed per task before the shuffle, so a term in every document costs one
-    row per task.
+    One pass over the corpus: the empty term, which no token equals, stands for the document itself
+    and carries its length. Counts are summed per task before the shuffle, so a term in every
+    document costs one row per task. The counts are staged, because later steps read them again.
     """
-    n_docs, mean_length = docs.agg(F.count(F.lit(1)), F.avg(F.size(tokens(F.col(text_col))))).first()
-    wanted = broadcast_if_small(terms.select("term").distinct(), MAX_BROADCAST_TERMS)
-    seen = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
+    words = docs.select(tokens(F.col(text_col)).alias("words")).filter(F.col("words").isNotNull())
+    listed = words.select(
+        F.size("words").alias("length"), F.concat(F.array(F.lit("")), F.array_distinct("words")).alias("distinct_words")
+    )
+    spread = listed.select("length", F.explode("distinct_words").alias("term"))
+    counted = spread.join(broadcast_if_small(wanted, MAX_BROADCAST_TERMS), "term").groupBy("term")
+    seen = stage(counted.agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("total")), "bm25-terms")
+    whole = seen.filter("term = ''").first()
+    n_docs, total = (whole["df"], whole["total"]) if whole else (0, 0)
     df = F.col("df").cast("double")
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - df + 0.5) / (df + 0.5))
-    return seen.join(wanted, "term").select("term", idf.alias("idf")), float(mean_length or 1.0)
+    return seen.filter("term <> ''").select("term", idf.alias("idf")), (total / n_docs if total else 1.0)
 
 
 def _saturated(tf: Column, length: Column, mean_length: float) -> Column:
@@ -49,8 +58,9 @@ def _saturated(tf: Column, length: Column, mean_length: float) -> Column:
 
 def _term_counts(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
     """(match_id, length, term, tf) for the asked terms only."""
-    words = tokens(F.col(text_col))
-    spread = docs.select(F.col(id_col).alias("match_id"), F.size(words).alias("length"), F.explode(words).alias("term"))
+    words = docs.select(F.col(id_col).alias("match_id"), tokens(F.col(text_col)).alias("words"))
+    sized = words.select("match_id", F.size("words").alias("length"), "words")
+    spread = sized.select("match_id", "length", F.explode("words").alias("term"))
     wanted = broadcast_if_small(terms.select("term").distinct(), MAX_BROADCAST_TERMS)
     return spread.join(wanted, "term").groupBy("match_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -108,7 +118,7 @@ def bm25_topk(
     """
     terms = question_terms(questions, question_id, question_text)
     idf, mean_length = corpus_weights(docs, doc_text, terms)
-    weighted = join_unique(terms, idf, "term", hot_rows=hot_rows).select("query_id", "term", "idf")
+    weighted = stage(join_unique(terms, idf, "term", hot_rows=hot_rows).select("query_id", "term", "idf"), "bm25-questions")
     if is_small(weighted, MAX_BROADCAST_TERMS) and is_small(questions.select(question_id), max_broadcast_queries):
         partial = _topk_broadcast(weighted, docs, doc_id, doc_text, mean_length, k)
     else:
