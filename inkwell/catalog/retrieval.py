@@ -137,8 +137,8 @@ def text_hits_cte(k: int) -> str:
 
 @query("hash_embed", f"WITH {DOC_VECTORS_CTE} SELECT id AS doc_id, pos AS place, round(v, 6) AS weight FROM dv")
 def hash_embed(spark, sf_dir):
-    embedded = embed(st.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    places = embedded.select("doc_id", F.posexplode("values").alias("place", "weight")).filter("weight <> 0")
+    embedded = embed(st.documents(spark, sf_dir).select("doc_id", "text"), "text")
+    places = embedded.select("doc_id", F.posexplode_outer("values").alias("place", "weight")).filter("weight <> 0")
     return places.select("doc_id", F.col("place").cast("long").alias("place"), F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
@@ -237,7 +237,7 @@ BM25_CTE = st.bm25_sql("bm", "SELECT item_id AS id, text FROM benchmark", "docum
 @query("bm25_topk", f"WITH {BM25_CTE} {ranked_sql('SELECT * FROM bm', fixed.TOP_K)}")
 def bm25_topk(spark, sf_dir):
     hits = bm25.bm25_topk(
-        st.table(spark, sf_dir, "benchmark"), st.table(spark, sf_dir, "documents"), fixed.TOP_K,
+        st.table(spark, sf_dir, "benchmark"), st.documents(spark, sf_dir), fixed.TOP_K,
         question_id="item_id", question_text="text", doc_id="doc_id", doc_text="text",
     )
     return hits.withColumn("rank", F.col("rank").cast("long"))
@@ -255,7 +255,7 @@ reranked AS (
 @query("rerank_topn", f"WITH {RERANKED_CTE} SELECT query_id, match_id, rank, bm25, new_rank FROM reranked")
 def rerank_topn(spark, sf_dir):
     best = retrieval.reranked_hits(
-        st.questions(spark, sf_dir), st.doc_vectors(spark, sf_dir), st.table(spark, sf_dir, "documents"),
+        st.questions(spark, sf_dir), st.doc_vectors(spark, sf_dir), st.documents(spark, sf_dir),
         question_id="item_id", question_text="text", doc_id="doc_id", text_col="text",
     )
     return best.select("query_id", "match_id", F.col("rank").cast("long").alias("rank"), "bm25", F.col("new_rank").cast("long").alias("new_rank"))
@@ -264,7 +264,7 @@ def rerank_topn(spark, sf_dir):
 @query("rag_rerank", f"WITH {RERANKED_CTE} {CONTEXT_SQL.format(rank='new_rank', hits='reranked')}")
 def rag_rerank(spark, sf_dir):
     contexts = retrieval.reranked_contexts(
-        st.questions(spark, sf_dir), st.doc_vectors(spark, sf_dir), st.table(spark, sf_dir, "documents"),
+        st.questions(spark, sf_dir), st.doc_vectors(spark, sf_dir), st.documents(spark, sf_dir),
         question_id="item_id", question_text="text", doc_id="doc_id", text_col="text",
     )
     return contexts.select("item_id", "context")

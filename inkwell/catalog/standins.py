@@ -10,9 +10,10 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkwell.functions import fixed
-from inkwell.functions.text import answer_key
+from inkwell.functions.text import answer_key, extract_number
 from inkwell.operators.embed import embedding_column
 from inkwell.operators.ordering import train_val_test_split
+from inkwell.operators.skew import spread_small_input
 from inkwell.plans.corpora import first_messages, pivot_messages
 from inkwell.plans.runs import score_run
 
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores for work on their texts."""
+    return spread_small_input(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def sql_text(value: str) -> str:
     """A SQL string literal of any text."""
     return "'" + value.replace("'", "''") + "'"
@@ -57,7 +63,7 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" with priority "), F.col("o_orderpriority"), F.lit(". What is its price in whole units?"),
     )
     answer = F.concat(F.lit("The listed price is "), whole.cast("string"), F.lit(" units. #### "), F.format_number(whole, 0))
-    return table(spark, sf_dir, "orders").select(
+    return spread_small_input(table(spark, sf_dir, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("Id"), question.alias("QuestionAsked"), answer.alias("AnswersGiven")
     )
 
@@ -131,8 +137,6 @@ def extract_number_sql(text: str) -> str:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored answers of all run styles over all questions."""
-    from inkwell.functions.text import extract_number
-
     answers = replies(spark, sf_dir).select("RowId", "RunStyle", extract_number(F.col("Reply")).alias("OpenAIAnswer"))
     return score_run(answers, keys(spark, sf_dir), RUN_DATE, F.col("RunStyle"))
 
@@ -196,7 +200,7 @@ code_qa AS (SELECT "Id", "QuestionAsked", "QuestionInput", "OutputAnswer", "Data
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit(datetime.date(2021, 9, 1)), F.pmod(F.col("n_chars"), F.lit(365)).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         (F.col("doc_id") + 1).alias("Id"), F.col("text").alias("NewsHeadline"), F.col("source").alias("ShortDescription"),
         F.col("lang").alias("NewsCategory"), day.alias("NewsDate"),
     )
@@ -231,7 +235,7 @@ def hits_sql(name: str, queries: str, corpus: str, k: int) -> str:
 
 
 def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", embedding_column(F.col("text")).alias("values"))
+    return documents(spark, sf_dir).select("doc_id", embedding_column(F.col("text")).alias("values"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +264,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Half of the pairs have one attempt, most others a few, and some run past the step limit.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    docs = documents(spark, sf_dir).select("doc_id")
     marks = table(spark, sf_dir, "labels")
     variant = F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant")
     pairs = docs.join(marks, "doc_id", "left").select("doc_id", "quality", "toxic", variant)

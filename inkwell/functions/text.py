@@ -80,4 +80,4 @@ def collapse_lines(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_BREAK), "")

@@ -27,7 +27,17 @@ _WORD = re.compile("[a-z0-9]+")
 
 def question_terms(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query_id, term), each term once per question."""
-    return questions.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+    return _one_row_each(questions.select(F.col(id_col).alias("query_id"), F.array_distinct(tokens(F.col(text_col))).alias("words")))
+
+
+def _one_row_each(df: DataFrame) -> DataFrame:
+    """A `term` row per element of `words`.
+
+    The outer form keeps the optimizer from guessing a filter on the array's size, which would
+    tokenise every text again in the scan.
+    """
+    others = [c for c in df.columns if c != "words"]
+    return df.select(*others, F.explode_outer("words").alias("term")).filter(F.col("term").isNotNull())
 
 
 def corpus_weights(docs: DataFrame, text_col: str, terms: DataFrame) -> tuple[DataFrame, float]:
@@ -38,11 +48,9 @@ def corpus_weights(docs: DataFrame, text_col: str, terms: DataFrame) -> tuple[Da
     document costs one row per task. The counts are staged, because later steps read them again.
     """
     wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
-    words = docs.select(tokens(F.col(text_col)).alias("words")).filter(F.col("words").isNotNull())
-    listed = words.select(
-        F.size("words").alias("length"), F.concat(F.array(F.lit("")), F.array_distinct("words")).alias("distinct_words")
-    )
-    spread = listed.select("length", F.explode("distinct_words").alias("term"))
+    words = docs.filter(F.col(text_col).isNotNull()).select(tokens(F.col(text_col)).alias("words"))
+    listed = words.select(F.size("words").alias("length"), F.concat(F.array(F.lit("")), F.array_distinct("words")).alias("words"))
+    spread = _one_row_each(listed)
     counted = spread.join(broadcast_if_small(wanted, MAX_BROADCAST_TERMS), "term").groupBy("term")
     seen = stage(counted.agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("total")), "bm25-terms")
     whole = seen.filter("term = ''").first()
@@ -59,8 +67,7 @@ def _saturated(tf: Column, length: Column, mean_length: float) -> Column:
 def _term_counts(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
     """(match_id, length, term, tf) for the asked terms only."""
     words = docs.select(F.col(id_col).alias("match_id"), tokens(F.col(text_col)).alias("words"))
-    sized = words.select("match_id", F.size("words").alias("length"), "words")
-    spread = sized.select("match_id", "length", F.explode("words").alias("term"))
+    spread = _one_row_each(words.select("match_id", F.size("words").alias("length"), "words"))
     wanted = broadcast_if_small(terms.select("term").distinct(), MAX_BROADCAST_TERMS)
     return spread.join(wanted, "term").groupBy("match_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -72,7 +79,9 @@ def _topk_broadcast(weighted: DataFrame, docs: DataFrame, id_col: str, text_col:
     local = weighted.toPandas()
     query_ids, places = np.unique(local["query_id"].to_numpy(), return_inverse=True)
     local["place"] = places
-    postings = {term: (part["place"].to_numpy(), float(part["idf"].iloc[0])) for term, part in local.groupby("term")}
+    postings = {
+        term: (part["place"].to_numpy(), float(part["idf"].iloc[0]) * (K1 + 1)) for term, part in local.groupby("term")
+    }
     shared = docs.sparkSession.sparkContext.broadcast((query_ids, postings))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,10 +96,12 @@ def _topk_broadcast(weighted: DataFrame, docs: DataFrame, id_col: str, text_col:
                 for column, text in enumerate(part["text"]):
                     words = _WORD.findall(text.lower())
                     damping = K1 * (1 - B + B * len(words) / mean_length)
-                    for term, tf in Counter(words).items():
-                        posting = wanted.get(term)
-                        if posting is not None:
-                            scores[posting[0], column] += posting[1] * tf * (K1 + 1) / (tf + damping)
+                    found = [(wanted[term], tf) for term, tf in Counter(words).items() if term in wanted]
+                    if found:
+                        gains = [weight * tf / (tf + damping) for (_, weight), tf in found]
+                        sizes = [len(asking) for (asking, _), _ in found]
+                        asking = np.concatenate([asking for (asking, _), _ in found])
+                        scores[:, column] = np.bincount(asking, weights=np.repeat(gains, sizes), minlength=len(ids))
                 scores[scores <= 0] = -np.inf
                 best.add(scores, part["match_id"].to_numpy())
         yield best.frame(ids)

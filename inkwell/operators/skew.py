@@ -9,6 +9,7 @@ BROADCAST_ROWS = 1_000_000
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 2_000
 SALTS = 32
+SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 
 
 def _row_bytes(schema: T.StructType) -> Column:
@@ -34,6 +35,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a small source before costly per-row work.
+
+    A file with one row group is read by one task whatever the core count. Sources with enough
+    data for every core are left as they are, so large tables are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * SPREAD_BYTES_PER_CORE else df
+
+
 def join_unique(
     left: DataFrame,
     right: DataFrame,

@@ -10,6 +10,7 @@ from inkwell.functions import fixed
 from inkwell.functions.text import is_correct
 from inkwell.operators.ordering import dense_index, exact_sample
 from inkwell.operators.skew import broadcast_if_small, join_unique
+from inkwell.session import stage
 from inkwell.sources.tables import load, max_id
 
 RUN_KEY = ["ModelName", "ModelTemperature", "RunStyle", "RunDate"]
@@ -71,7 +72,9 @@ def dim_runs(scored: DataFrame, dim_idx: int = 0) -> DataFrame:
 
 def fact_runs(scored: DataFrame, dim: DataFrame, fact_idx: int = 0) -> DataFrame:
     """One row per scored answer, pointing at its run, numbered after `fact_idx`."""
-    runs = broadcast_if_small(dim.select("ModelId", *[F.col(c).alias(f"_{c}") for c in RUN_KEY]))
+    # staged, so that measuring and joining do not score everything again
+    named = stage(dim.select("ModelId", *[F.col(c).alias(f"_{c}") for c in RUN_KEY]), "runs")
+    runs = broadcast_if_small(named)
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RUN_KEY]
     matched = scored.join(runs, same).select("ModelId", "RowId", "OpenAIAnswer", "ExtractedAnswer", "IndCorrect")
     return dense_index(matched, ["ModelId", "RowId"], "Id", fact_idx + 1)
@@ -81,7 +84,7 @@ def append_dim_fact(spark: SparkSession, scored: DataFrame, dim_table: str, fact
     """Append a batch of runs; keys continue from the stored maxima and are checked before loading."""
     dim_idx = max_id(spark.table(dim_table), "ModelId").first()["Id"]
     fact_idx = max_id(spark.table(fact_table), "Id").first()["Id"]
-    dim = dim_runs(scored, dim_idx)
+    dim = stage(dim_runs(scored, dim_idx), "dim")
     fact = fact_runs(scored, dim, fact_idx)
     load(spark, dim, dim_table, overwrite=False, keys=["ModelId"])
     load(spark, fact, fact_table, overwrite=False, keys=["Id"])

@@ -17,8 +17,8 @@ Answer = Callable[[DataFrame], DataFrame]
 
 def parse_candidates(replies: DataFrame, reply_col: str) -> DataFrame:
     """One row per proposed sentence, with its 0-based place in the reply."""
-    lines = F.posexplode(candidate_lines(F.col(reply_col))).alias("place", "candidate")
-    return replies.select(*[c for c in replies.columns if c != reply_col], lines)
+    lines = F.posexplode_outer(candidate_lines(F.col(reply_col))).alias("place", "candidate")
+    return replies.select(*[c for c in replies.columns if c != reply_col], lines).filter(F.col("candidate").isNotNull())
 
 
 def with_candidates(questions: DataFrame, candidates: list[tuple[int, str]]) -> DataFrame:
