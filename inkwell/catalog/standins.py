@@ -14,7 +14,7 @@ from inkwell.functions.text import answer_key, extract_number
 from inkwell.operators.embed import embedding_column
 from inkwell.operators.ordering import train_val_test_split
 from inkwell.operators.skew import spread_small_input
-from inkwell.plans.corpora import first_messages, pivot_messages
+from inkwell.plans.corpora import pivot_messages
 from inkwell.plans.runs import score_run
 
 RUN_DATE = datetime.date(2024, 3, 1)
@@ -169,8 +169,8 @@ ROLE_COLUMNS = {"user": "QuestionAsked", "system": "QuestionInput", "assistant":
 
 
 def pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firsts = first_messages(table(spark, sf_dir, "conversations"), "conv_id", "role", "turn", "text")
-    return pivot_messages(firsts, "conv_id", "role", "text", ROLE_COLUMNS)
+    """The first message of each role per conversation, side by side."""
+    return pivot_messages(table(spark, sf_dir, "conversations"), "conv_id", "role", "text", ROLE_COLUMNS, order="turn")
 
 
 PIVOTED_CTE = """pivoted AS (

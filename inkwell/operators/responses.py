@@ -30,16 +30,22 @@ def _ask(client: Client, prompts: list[str], tries: int, first_wait: float) -> l
 
 
 def call_client(
-    prompts: DataFrame, prompt_col: str, make_client: Callable[[], Client], tries: int = 6, first_wait: float = 0.5
+    prompts: DataFrame,
+    prompt_col: str,
+    make_client: Callable[[], Client],
+    tries: int = 6,
+    first_wait: float = 0.5,
+    batch_size: int = 500,
 ) -> DataFrame:
     """(content_key, response) for distinct prompts; one client per task, one call per batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for batch in batches:
-            if len(batch):
-                answers = _ask(client, batch[prompt_col].tolist(), tries, first_wait)
-                yield pd.DataFrame({"content_key": batch["content_key"], "response": answers})
+            for start in range(0, len(batch), batch_size):
+                part = batch.iloc[start : start + batch_size]
+                answers = _ask(client, part[prompt_col].tolist(), tries, first_wait)
+                yield pd.DataFrame({"content_key": part["content_key"].to_numpy(), "response": answers})
 
     return prompts.mapInPandas(run, "content_key string, response string")
 

@@ -26,9 +26,13 @@ def _row_bytes(schema: T.StructType) -> Column:
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a frame with one distributed aggregate; nothing is funnelled into one task."""
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df.schema)), F.lit(0))).first()
-    return rows <= max_rows and size <= max_bytes
+    """Measure a frame with distributed aggregates; nothing is funnelled into one task.
+
+    The row count comes first: it reads no columns, and settles the question for large tables.
+    """
+    if df.count() > max_rows:
+        return False
+    return df.agg(F.coalesce(F.sum(_row_bytes(df.schema)), F.lit(0))).first()[0] <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

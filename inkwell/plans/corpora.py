@@ -16,24 +16,23 @@ from inkwell.sources.vectors import vector_record
 
 
 def pivot_messages(
-    df: DataFrame, index: str, type_col: str, value: str, columns: dict[str, str], check: bool = True
+    df: DataFrame, index: str, type_col: str, value: str, columns: dict[str, str], order: str | None = None
 ) -> DataFrame:
     """Long messages to one row per conversation; `columns` maps message types to column names.
 
     The types are named, so no extra job looks for them and a missing type is a null column. A
-    repeated (conversation, type) is an error unless `check` is off.
+    repeated (conversation, type) is an error, unless `order` says which message comes first. One
+    aggregate with partial results per task does both the choice and the reshaping.
     """
-    if check:
+    if order is None:
         require_unique(df.filter(F.col(type_col).isin(list(columns))), [index, type_col])
-    wide = df.groupBy(index).agg(
-        *[F.max(F.when(F.col(type_col) == kind, F.col(value))).alias(name) for kind, name in columns.items()]
-    )
-    return wide.select((F.col(index) + 1).alias("Id"), *columns.values())
 
+    def of_type(kind: str) -> Column:
+        wanted = F.when(F.col(type_col) == kind, F.col(value))
+        return F.max(wanted) if order is None else F.min_by(wanted, F.when(F.col(type_col) == kind, F.col(order)))
 
-def first_messages(df: DataFrame, index: str, type_col: str, order: str, value: str) -> DataFrame:
-    """The first message of each type per conversation."""
-    return df.groupBy(index, type_col).agg(F.min_by(value, order).alias(value))
+    wide = df.groupBy(index).agg(*[of_type(kind).alias(name) for kind, name in columns.items()])
+    return wide.select((F.col(index) + 1).alias("Id"), *columns.values())
 
 
 def news_corpus(
