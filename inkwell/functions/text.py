@@ -81,3 +81,12 @@ def collapse_lines(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), TOKEN_BREAK), "")
+
+
+# every byte that is not a-z or 0-9 becomes a blank
+_TOKEN_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+
+
+def token_bytes(text: str) -> list[bytes]:
+    """The same tokens inside a Python task, as bytes."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_TOKEN_BYTES).split()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkwell.functions.text import tokens
+from inkwell.functions.text import token_bytes, tokens
 from inkwell.operators.knn import rank_matches
 from inkwell.operators.skew import HOT_ROWS, broadcast_if_small, is_small, join_unique
 from inkwell.operators.topk import SCORE_DIGITS, TopK
@@ -22,8 +21,6 @@ MAX_BROADCAST_TERMS = 500_000
 MAX_BROADCAST_QUERIES = 20_000
 DOC_CHUNK_CELLS = 4_000_000
 
-_WORD = re.compile("[a-z0-9]+")
-
 
 def question_terms(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query_id, term), each term once per question."""
@@ -80,7 +77,7 @@ def _topk_broadcast(weighted: DataFrame, docs: DataFrame, id_col: str, text_col:
     query_ids, places = np.unique(local["query_id"].to_numpy(), return_inverse=True)
     local["place"] = places
     postings = {
-        term: (part["place"].to_numpy(), float(part["idf"].iloc[0]) * (K1 + 1)) for term, part in local.groupby("term")
+        term.encode(): (part["place"].to_numpy(), float(part["idf"].iloc[0]) * (K1 + 1)) for term, part in local.groupby("term")
     }
     shared = docs.sparkSession.sparkContext.broadcast((query_ids, postings))
 
@@ -94,7 +91,7 @@ def _topk_broadcast(weighted: DataFrame, docs: DataFrame, id_col: str, text_col:
                 part = batch.iloc[start : start + step]
                 scores = np.zeros((len(ids), len(part)))
                 for column, text in enumerate(part["text"]):
-                    words = _WORD.findall(text.lower())
+                    words = token_bytes(text)
                     damping = K1 * (1 - B + B * len(words) / mean_length)
                     found = [(wanted[term], tf) for term, tf in Counter(words).items() if term in wanted]
                     if found:

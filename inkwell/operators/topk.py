@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 
 SCORE_DIGITS = 6
+_UNITS = 10**SCORE_DIGITS
+_NO_MATCH = np.iinfo(np.int64).min
 
 
 class TopK:
@@ -17,18 +19,29 @@ class TopK:
         self.rows = np.empty(0, dtype=np.int64)
         self.scores = np.empty(0, dtype=np.float64)
         self.ids: np.ndarray | None = None
+        self.floor = np.full(n_queries, -np.inf)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores of all queries against a batch of ids; -inf marks no match."""
-        if scores.shape[1] == 0:
+        """Scores of all queries against a batch of ids; -inf marks no match.
+
+        Only queries whose floor can be reached are looked at, and each gives at most k rows: the
+        key holds the rounded score and, below it, the place of the id, so copies cannot pile up.
+        """
+        width = scores.shape[1]
+        if width == 0 or self.n_queries == 0:
             return
-        scores = np.round(scores, SCORE_DIGITS)
-        if scores.shape[1] > self.k:
-            floor = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
-        else:
-            floor = np.full(self.n_queries, -np.inf)
-        rows, cols = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-        self._merge(rows, scores[rows, cols], ids[cols])
+        live = np.flatnonzero(scores.max(axis=1) >= self.floor - 1.0 / _UNITS)
+        by_id = np.argsort(ids, kind="stable")
+        part, ids = scores[live][:, by_id], ids[by_id]
+        matched = np.isfinite(part)
+        units = np.rint(np.where(matched, part, 0.0) * _UNITS).astype(np.int64)
+        key = np.where(matched, units * width + np.arange(width - 1, -1, -1), _NO_MATCH)
+        kept = min(self.k, width)
+        columns = np.argpartition(key, width - kept, axis=1)[:, width - kept :]
+        chosen = np.take_along_axis(matched, columns, axis=1).ravel()
+        rows = np.repeat(live, kept)[chosen]
+        columns, units = columns.ravel()[chosen], np.take_along_axis(units, columns, axis=1).ravel()[chosen]
+        self._merge(rows, units / _UNITS, ids[columns])
 
     def _merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         if self.ids is not None:
@@ -37,9 +50,11 @@ class TopK:
             ids = np.concatenate([self.ids, ids])
         order = np.lexsort((ids, -scores, rows))
         rows, scores, ids = rows[order], scores[order], ids[order]
-        starts = np.searchsorted(rows, rows, side="left")
-        best = np.arange(len(rows)) - starts < self.k
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < self.k
         self.rows, self.scores, self.ids = rows[best], scores[best], ids[best]
+        counts = np.bincount(self.rows, minlength=self.n_queries)
+        full = counts >= self.k
+        self.floor[full] = self.scores[np.cumsum(counts)[full] - 1]
 
     def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
         ids = self.ids if self.ids is not None else np.empty(0, dtype=object)

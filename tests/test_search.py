@@ -57,6 +57,14 @@ def test_search_in_empty_corpus(spark, vectors, how):
     assert knn.knn_join(frame.limit(0), frame, 3, **OPTIONS, **how).count() == 0
 
 
+def test_text_ids(spark, vectors):
+    frame, rows = vectors
+    named = frame.filter("id < 40").select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), "v")
+    for how in ({}, {"max_broadcast_queries": 0, "pivots": 3, "corpus_chunk": 8}):
+        hits = {(int(q[1:]), int(m[1:]), s, r) for q, m, s, r in found(knn.knn_join(named, named, 3, **OPTIONS, **how))}
+        assert hits == brute([r for r in rows if r[0] < 40], 3)
+
+
 def test_fewer_vectors_than_k(spark, vectors):
     frame, rows = vectors
     few = [r for r in rows if r[0] < 4]
@@ -124,10 +132,11 @@ def test_rescore_equals_topk(spark):
 
 
 def test_embedding(spark):
-    frame = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id int, t string")
+    frame = spark.createDataFrame([(0, None), (1, "a b a"), (5, None), (2, ""), (3, None), (6, "a b a")], "id int, t string").coalesce(1)
     rows = {r["id"]: r["values"] for r in embed(frame, "t", make_encoder=lambda: hashed_words_encoder(16)).collect()}
     assert abs(sum(x * x for x in rows[1]) - 1) < 1e-6 and len(rows[1]) == 16
-    assert rows[2] == [0.0] * 16 and rows[3] is None
+    assert rows[2] == [0.0] * 16 and rows[6] == rows[1]
+    assert rows[0] is None and rows[5] is None and rows[3] is None
 
 
 def test_other_encoder_is_made_once_per_task(spark):
