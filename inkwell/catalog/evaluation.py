@@ -74,8 +74,7 @@ FROM scored JOIN dim USING ("ModelName", "ModelTemperature", "RunStyle", "RunDat
 
 @query("fact_runs", f"WITH {st.SCORED_CTE}, {st.DIM_CTE} {FACT_SQL}")
 def fact_runs(spark, sf_dir):
-    scored = st.scored(spark, sf_dir)
-    return runs.fact_runs(scored, runs.dim_runs(scored))
+    return runs.model_runs(st.scored(spark, sf_dir))[1]
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkwell.functions.text import token_bytes, tokens
 from inkwell.operators.knn import rank_matches
-from inkwell.operators.skew import HOT_ROWS, broadcast_if_small, is_small, join_unique
+from inkwell.operators.skew import HOT_ROWS, broadcast_if_small, few_tasks, is_small, join_unique
 from inkwell.operators.topk import SCORE_DIGITS, TopK
 from inkwell.session import stage
 
@@ -104,7 +104,7 @@ def _topk_broadcast(weighted: DataFrame, docs: DataFrame, id_col: str, text_col:
         yield best.frame(ids)
 
     texts = docs.select(F.col(id_col).alias("match_id"), F.col(text_col).alias("text"))
-    return texts.mapInPandas(search, f"query_id {q_type}, match_id {d_type}, score double")
+    return few_tasks(texts).mapInPandas(search, f"query_id {q_type}, match_id {d_type}, score double")
 
 
 def bm25_topk(

@@ -9,6 +9,7 @@ BROADCAST_ROWS = 1_000_000
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 2_000
 SALTS = 32
+TASKS_PER_CORE = 8
 SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 
 
@@ -50,6 +51,14 @@ def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if size < cores * SPREAD_BYTES_PER_CORE else df
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """Merge input splits where every task returns a result of its own, so that these stay few.
+
+    No shuffle; sources with fewer splits are left as they are.
+    """
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def join_unique(
     left: DataFrame,
     right: DataFrame,

@@ -80,12 +80,21 @@ def fact_runs(scored: DataFrame, dim: DataFrame, fact_idx: int = 0) -> DataFrame
     return dense_index(matched, ["ModelId", "RowId"], "Id", fact_idx + 1)
 
 
+def model_runs(scored: DataFrame, dim_idx: int = 0, fact_idx: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(dim, fact) of stacked runs.
+
+    Scored rows are narrow and are staged: the answer texts behind them are read and parsed once.
+    """
+    kept = stage(scored, "scored")
+    dim = stage(dim_runs(kept, dim_idx), "dim")
+    return dim, fact_runs(kept, dim, fact_idx)
+
+
 def append_dim_fact(spark: SparkSession, scored: DataFrame, dim_table: str, fact_table: str) -> None:
     """Append a batch of runs; keys continue from the stored maxima and are checked before loading."""
     dim_idx = max_id(spark.table(dim_table), "ModelId").first()["Id"]
     fact_idx = max_id(spark.table(fact_table), "Id").first()["Id"]
-    dim = stage(dim_runs(scored, dim_idx), "dim")
-    fact = fact_runs(scored, dim, fact_idx)
+    dim, fact = model_runs(scored, dim_idx, fact_idx)
     load(spark, dim, dim_table, overwrite=False, keys=["ModelId"])
     load(spark, fact, fact_table, overwrite=False, keys=["Id"])
 
