@@ -31,8 +31,11 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
 
     The row count comes first: it reads no columns, and settles the question for large tables.
     """
-    if df.count() > max_rows:
+    rows = df.count()
+    if rows > max_rows:
         return False
+    if not any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType)) for f in df.schema.fields):
+        return rows * 8 * len(df.schema.fields) <= max_bytes
     return df.agg(F.coalesce(F.sum(_row_bytes(df.schema)), F.lit(0))).first()[0] <= max_bytes
 
 
