@@ -10,6 +10,8 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 2_000
 SALTS = 32
 TASKS_PER_CORE = 8
+MERGED_TASK_BYTES = 2 * 1024**3
+MAX_TASKS = 1_000_000
 SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
 
 
@@ -43,6 +45,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate: the file sizes for a scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core a share of a small source before costly per-row work.
 
@@ -50,16 +57,18 @@ def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
     data for every core are left as they are, so large tables are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * SPREAD_BYTES_PER_CORE else df
+    return df.repartition(cores, *keys) if planned_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df
 
 
 def few_tasks(df: DataFrame) -> DataFrame:
     """Merge input splits where every task returns a result of its own, so that these stay few.
 
-    No shuffle; sources with fewer splits are left as they are.
+    No shuffle. The size sets a lower bound, because an elastic cluster may report few cores before
+    it has grown; sources with fewer splits are left as they are.
     """
-    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    by_size = min(MAX_TASKS, planned_bytes(df) // MERGED_TASK_BYTES + 1)
+    return df.coalesce(max(TASKS_PER_CORE * cores, by_size))
 
 
 def join_unique(

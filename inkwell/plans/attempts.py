@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from inkwell.functions import fixed
 from inkwell.functions.text import extract_code, verdict
-from inkwell.operators.skew import join_unique
 from inkwell.session import stage
 
 # two steps per attempt, one for grading
