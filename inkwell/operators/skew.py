@@ -4,27 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from inkwell.session import stage
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 2_000
-SALTS = 32
+HOT_KEY_BOUND = 1_000_000
 TASKS_PER_CORE = 8
 MERGED_TASK_BYTES = 2 * 1024**3
 MAX_TASKS = 1_000_000
 SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
+
+
+def _sum_over(values: Column, element: T.DataType) -> Column:
+    """Bytes of all elements of an array, 8 for each besides."""
+    if isinstance(element, FIXED_WIDTH):
+        return 8 * F.greatest(F.size(values), F.lit(0)).cast("long")
+    total = F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + 8 + _width(x, element))
+    return F.coalesce(total, F.lit(0).cast("long"))
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Measured bytes of a value of any nested type; null when the type cannot be measured."""
+    if isinstance(kind, FIXED_WIDTH):
+        return F.lit(8).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(8).cast("long") + F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        return F.lit(8).cast("long") + _sum_over(value, kind.elementType)
+    if isinstance(kind, T.MapType):
+        keys, values = F.map_keys(value), F.map_values(value)
+        return F.lit(8).cast("long") + _sum_over(keys, kind.keyType) + _sum_over(values, kind.valueType)
+    if isinstance(kind, T.StructType):
+        total = F.lit(8).cast("long")
+        for field in kind.fields:
+            total = total + _width(value.getField(field.name), field.dataType)
+        return total
+    return F.lit(None).cast("long")
 
 
 def _row_bytes(schema: T.StructType) -> Column:
-    """Estimated width of a row: variable parts measured, fixed parts counted as 8 bytes."""
-    total = F.lit(8 * len(schema.fields)).cast("long")
+    total = F.lit(0).cast("long")
     for field in schema.fields:
-        name = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            total = total + F.coalesce(F.octet_length(name), F.lit(0)).cast("long")
-        elif isinstance(field.dataType, T.ArrayType):
-            width = 64 if isinstance(field.dataType.elementType, (T.StringType, T.StructType)) else 8
-            total = total + F.greatest(F.size(name), F.lit(0)).cast("long") * width
+        total = total + _width(F.col(f"`{field.name}`"), field.dataType)
     return total
 
 
@@ -32,13 +55,17 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
     """Measure a frame with distributed aggregates; nothing is funnelled into one task.
 
     The row count comes first: it reads no columns, and settles the question for large tables.
+    Maps, arrays and structs are measured through all their levels. A type that cannot be measured
+    is not small.
     """
     rows = df.count()
     if rows > max_rows:
         return False
-    if not any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType)) for f in df.schema.fields):
+    if all(isinstance(f.dataType, FIXED_WIDTH) for f in df.schema.fields):
         return rows * 8 * len(df.schema.fields) <= max_bytes
-    return df.agg(F.coalesce(F.sum(_row_bytes(df.schema)), F.lit(0))).first()[0] <= max_bytes
+    width = _row_bytes(df.schema)
+    total, measured = df.agg(F.coalesce(F.sum(width), F.lit(0)), F.count(width)).first()
+    return measured == rows and total <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -71,35 +98,61 @@ def few_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(max(TASKS_PER_CORE * cores, by_size))
 
 
+def hot_keys(left: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(_hot_hash, _salts) of the keys with more than `hot_rows` rows: one salt for each `hot_rows`.
+
+    Keys are named by a 64-bit hash, so a row is 12 bytes whatever the key. At most
+    total / hot_rows keys can qualify; beyond 10^12 rows the threshold rises so that there are never
+    more than HOT_KEY_BOUND of them. Null keys count as a key, so a left join spreads them too.
+    """
+    counts = left.groupBy(F.xxhash64(*on).alias("_hot_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    hot_rows = max(hot_rows, -(-left.count() // HOT_KEY_BOUND))
+    salts = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int")
+    return counts.filter(F.col("_n") > hot_rows).select("_hot_hash", salts.alias("_salts"))
+
+
+def salted(df: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of hot keys dealt over their salts by position, so equal rows spread as well.
+
+    Positions must not change when a task runs again: `df` has to be a scan or a staged table.
+    """
+    marked = df.withColumn("_hot_hash", F.xxhash64(*on)).join(F.broadcast(hot), "_hot_hash", "left")
+    salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))).cast("int")
+    return marked.withColumn("_salt", salt).drop("_hot_hash", "_salts")
+
+
+def repeated(df: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """The other side of a salted join: rows of hot keys once for each salt."""
+    marked = df.withColumn("_hot_hash", F.xxhash64(*on)).join(F.broadcast(hot), "_hot_hash", "left")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    return marked.withColumn("_salt", F.explode(every)).drop("_hot_hash", "_salts")
+
+
 def join_unique(
     left: DataFrame,
     right: DataFrame,
-    on: str,
+    on: str | list[str],
     how: str = "inner",
     *,
     max_broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    stable_left: bool = False,
 ) -> DataFrame:
     """Join a frame of any key distribution with a frame that is unique on the key.
 
     A measured-small right side is broadcast. Otherwise keys that hold more than `hot_rows` left
-    rows are spread over `salts` shuffle keys, and only those few right rows are repeated.
-    `how` is inner, left or left_semi.
+    rows are dealt by position over ceil(n / hot_rows) shuffle keys, and only their right rows are
+    repeated. `how` is inner, left or left_semi. `stable_left` says that the left side is a scan or
+    staged already; else it is staged when it holds a hot key.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     if is_small(right, max_broadcast_rows):
-        return left.join(F.broadcast(right), on, how)
-    counts = left.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.count()
-    threshold = max(hot_rows, total // MAX_HOT_KEYS)
-    # at most total / threshold <= MAX_HOT_KEYS rows, so this broadcast is bounded by construction
-    hot = F.broadcast(counts.filter(F.col("_n") > threshold).select(on, F.lit(True).alias("_hot")))
-    spread = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    salted_right = right.join(hot, on, "left").withColumn("_salt", spread).drop("_hot")
-    any_column = F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if not t.startswith("map")])
-    salted_left = (
-        left.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(any_column, F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    return salted_left.join(salted_right, [on, "_salt"], how).drop("_salt")
+        return left.join(F.broadcast(right), keys, how)
+    hot = hot_keys(left, keys, hot_rows)
+    if not stable_left:
+        hot = stage(hot, "hot-keys")
+        if hot.isEmpty():
+            return left.join(right, keys, how)
+        left = stage(left, "hot-left")
+    joined = salted(left, hot, keys).join(repeated(right, hot, keys), [*keys, "_salt"], how)
+    return joined.drop("_salt")

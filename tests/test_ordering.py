@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import ordering
-from inkwell.operators.skew import join_unique
+from inkwell.operators.skew import hot_keys, is_small, join_unique, salted
+from inkwell.session import stage
 from inkwell.session import fresh_path
 
 
@@ -83,5 +84,32 @@ def test_join_with_hot_key(spark, how, broadcast_rows):
     left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 40).cast("long").alias("k"), "id")
     right = spark.range(0, 40, 2).union(spark.range(1, 2)).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     expected = sorted(left.join(right, "k", how).collect(), key=str)
-    found = join_unique(left, right, "k", how, max_broadcast_rows=broadcast_rows, hot_rows=100, salts=4)
+    found = join_unique(left, right, "k", how, max_broadcast_rows=broadcast_rows, hot_rows=100)
     assert sorted(found.collect(), key=str) == expected
+
+
+def test_salts_follow_the_count_of_each_key(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    hot = {r["_hot_hash"]: r["_salts"] for r in hot_keys(left, ["k"], 100).collect()}
+    assert list(hot.values()) == [10]
+
+
+def test_equal_rows_spread_over_salts(spark):
+    left = stage(spark.range(1000).select(F.lit(1).alias("k"), F.lit("same").alias("v")), "equal-rows")
+    found = salted(left, hot_keys(left, ["k"], 100), ["k"]).groupBy("_salt").count().collect()
+    assert len(found) == 10 and max(r["count"] for r in found) <= 200
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_and_null_keys_join_once(spark, how):
+    left = spark.createDataFrame([(1, i) for i in range(500)] + [(None, i) for i in range(300)] + [(2, 0), (3, 0)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
+    found = join_unique(left, right, "k", how, max_broadcast_rows=0, hot_rows=100)
+    assert found.count() == {"inner": 501, "left": 802, "left_semi": 501}[how]
+    assert found.filter("k = 1").distinct().count() == 500
+
+
+@pytest.mark.parametrize("value", ["map('k', repeat('x', 100000))", "array(repeat('x', 100000))", "named_struct('a', named_struct('b', repeat('x', 100000)))", "array(map(1, repeat('x', 100000)))"])
+def test_nested_values_are_measured(spark, value):
+    assert not is_small(spark.range(1).selectExpr(f"{value} AS v"), max_bytes=50_000)
+    assert is_small(spark.range(1).selectExpr(f"{value} AS v"), max_bytes=200_000)
