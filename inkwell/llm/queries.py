@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm.exact import DigestIndex, exact_dedup
 from inkwell.llm.frames import table
 from inkwell.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the entry module)
+from inkwell.llm.sharding import shard_documents
+from inkwell.llm.simhash import simhash_groups
+from inkwell.llm.urls import judge
 from inkwell.session import fresh_path
 
 OP8_SQL = r"""
@@ -27,3 +30,24 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as the first batch of a new index in the shared folder."""
     index = DigestIndex(spark, fresh_path(spark, "digest-index"))
     return exact_dedup(table(spark, sf_dir, "documents"), index)
+
+
+#: Host, path and verdict of the rules that `pages` are judged by.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_url_filters")
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = ", ".join(str(rule) for rule in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(rule_host, rule_path, rule_verdict)")
+    return judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
