@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.exact import DigestIndex, exact_dedup
 from inkwell.llm.frames import table
 from inkwell.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the entry module)
+from inkwell.llm.lmscore import lm_scores
+from inkwell.llm.quality import score, train
 from inkwell.llm.sharding import shard_documents
 from inkwell.llm.simhash import simhash_groups
+from inkwell.llm.tiling import decontaminate
+from inkwell.llm.tokenfile import encoded_documents
 from inkwell.llm.urls import judge
 from inkwell.session import fresh_path
 
@@ -36,6 +41,22 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_lm_scores")
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_token_file")
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
@@ -51,3 +72,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK_BYTES = 1 << 20
@@ -31,7 +32,7 @@ def word_blocks(text: str | None, lower: bool = True) -> Iterator[list[bytes]]:
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of text, one row at least."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             if held and held + n > most_bytes:
