@@ -21,7 +21,7 @@ DEPTH = 16
 BLOCK = 16
 LEARNING_RATE = 0.01
 BATCH = 64
-PRIOR = 2.0
+PRIOR = 15.0
 LOG10E = float(np.log10(np.e))
 #: Class index that stands before the first id of a text, and as the context of a word's first id.
 BEGIN = CLASSES

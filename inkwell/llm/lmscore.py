@@ -13,15 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from inkwell.llm.attention import BEGIN, BLOCK, CLASSES, SIZE, Scorer, Vocabulary, fresh, train
 from inkwell.llm.tokenfile import END_ID, encoder
 from inkwell.llm.words import text_slices, word_blocks
-from inkwell.operators.skew import HOT_ROWS, join_unique
+from inkwell.operators.skew import HOT_ROWS, join_unique, planned_bytes
 from inkwell.session import stage
 
 WINDOW = 2 * BLOCK + 1
-#: One training window for each so many words of a text, and one more.
-WORDS_PER_WINDOW = 500
 #: The first fit on the driver sees at most so many windows; the later rounds see all.
-FIRST_WINDOWS = 4_096
-FIRST_EPOCHS = 6
+FIRST_WINDOWS = 8_192
+FIRST_EPOCHS = 4
 ROUNDS = 1
 WINDOWS_PER_SHARD = 8_192
 #: The most frequent words, at most so many, are looked up inside tasks; all others are joined.
@@ -35,15 +33,23 @@ def is_held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % folds == fold, F.lit(False))
 
 
-def _windows(words: list[list[bytes]], n: int, tokenizer_path: str, end_id: int, seed: int) -> list[np.ndarray]:
-    """Id windows from seeded places of a text: one, and one more for each WORDS_PER_WINDOW words.
+def words_per_window(docs: DataFrame) -> int:
+    """One training window for each so many words: their number grows with the square root of the source's bytes.
+
+    So windows grow with the corpus, more slowly than it; every text has one at least.
+    """
+    return max(WINDOW, math.isqrt(planned_bytes(docs)) // 40)
+
+
+def _windows(words: list[list[bytes]], n: int, tokenizer_path: str, end_id: int, seed: int, spacing: int) -> list[np.ndarray]:
+    """Id windows from seeded places of a text: one, and one more for each `spacing` words.
 
     A window holds up to WINDOW - 1 ids after a place for the begin mark, which stands where a text starts; a window
     that reaches the end of the text ends with the end id.
     """
     encode, found, draw = encoder(tokenizer_path), [], np.random.default_rng(seed)
     flat = [w for block in words for w in block] if len(words) != 1 else words[0]
-    for _ in range(1 + n // WORDS_PER_WINDOW):
+    for _ in range(1 + n // spacing):
         at = int(draw.integers(0, max(1, n)))
         ids = np.frombuffer(encode.encode(b" ".join(flat[at : at + WINDOW]).decode()), encode.dtype).astype(np.int32)
         if at + WINDOW >= n:
@@ -55,7 +61,7 @@ def _windows(words: list[list[bytes]], n: int, tokenizer_path: str, end_id: int,
     return found
 
 
-def gather(rows: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def gather(rows: DataFrame, tokenizer_path: str, spacing: int, end_id: int = END_ID) -> DataFrame:
     """Word counts per task and training windows of all texts: (word, n, window), staged.
 
     Counts are summed inside a task as far as HELD_WORDS words allow, then sent on, so memory is bounded.
@@ -81,7 +87,7 @@ def gather(rows: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFr
                     n += len(block)
                     blocks.append(block)
                 texts += 1
-                windows += [w.tobytes() for w in _windows(blocks or [[]], n, tokenizer_path, end_id, seed)]
+                windows += [w.tobytes() for w in _windows(blocks or [[]], n, tokenizer_path, end_id, seed, spacing)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.binary()), pa.nulls(len(windows), pa.int64()), pa.array(windows, pa.binary())], schema=schema)
             if len(counts) > HELD_WORDS:
                 yield flushed()
@@ -245,7 +251,7 @@ def lm_scores(
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     read = docs.select(F.col(f"`{id_col}`").alias("id"), is_held_out(id_col).alias("held_out"), text.alias("text"))
     seeded = read.filter(~F.col("held_out")).select("text", F.abs(F.hash("id")).cast("long").alias("seed"))
-    corpus = gather(seeded, tokenizer_path, end_id)
+    corpus = gather(seeded, tokenizer_path, words_per_window(docs), end_id)
     texts = corpus.filter("word IS NULL AND n IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counts = stage(corpus.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+from inkwell.llm import language
 from inkwell.llm.exact import DigestIndex, exact_dedup
 from inkwell.llm.frames import table
 from inkwell.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the entry module)
 from inkwell.llm.lmscore import lm_scores
 from inkwell.llm.quality import score, train
+from inkwell.llm.segment import sample_segmentations
 from inkwell.llm.sharding import shard_documents
 from inkwell.llm.simhash import simhash_groups
 from inkwell.llm.tiling import decontaminate
@@ -30,6 +33,13 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 """
 
 
+@query("op7_segmentations")
+def op7_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of the sampled segmentations of all documents."""
+    found = sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumn("ids_crc32", F.crc32("ids").cast("long")).drop("ids")
+
+
 @query("op8_exact_dedup", OP8_SQL)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as the first batch of a new index in the shared folder."""
@@ -41,6 +51,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, by a text model of all documents."""
+    languages, logs = language.train(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "pages"), languages, logs)
+
+
 @query("op2_quality")
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -77,3 +94,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
