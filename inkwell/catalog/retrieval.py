@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from inkwell.catalog import standins as st
 from inkwell.catalog.registry import query
-from inkwell.functions import fixed
+from inkwell.functions import fixed, prompts
+from inkwell.functions.text import concat_lenient
 from inkwell.operators import bm25, knn, ordering
 from inkwell.operators.embed import embed, embedding_column
 from inkwell.plans import corpora, retrieval
 from inkwell.plans.runs import qa_sample as sample_pair
+from inkwell.session import stage
 
 DIM = 64
 LSH_TABLES, LSH_BITS = 4, 4
@@ -211,24 +213,57 @@ def rag_basic(spark, sf_dir):
     return contexts.select("item_id", "context")
 
 
-HYPOTHETICAL_CTE = """recorded AS (SELECT conv_id, arg_min(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-hypothetical AS (SELECT item_id, coalesce(reply, text) AS text FROM benchmark LEFT JOIN recorded ON conv_id = item_id)"""
+# ---- searches asked by the exchanges of conversations --------------------------------------------
+
+EXCHANGE_CONTEXT_SQL = """SELECT "Id", coalesce(context, '') AS context FROM asked LEFT JOIN (
+  SELECT query_id, string_agg({text}, chr(10) || chr(10) ORDER BY {rank}) AS context FROM {hits} JOIN {source} ON {id} = match_id GROUP BY query_id)
+ON query_id = "Id\""""
+
+
+@query("hyde_prompts", f"""WITH {st.PIVOTED_CTE} SELECT "Id", {st.sql_text(fixed.HYPOTHETICAL_PREFIX)} || "QuestionAsked" AS prompt FROM pivoted WHERE "QuestionAsked" IS NOT NULL""")
+def hyde_prompts(spark, sf_dir):
+    asked = st.pivoted(spark, sf_dir).filter(F.col("QuestionAsked").isNotNull())
+    return asked.select("Id", prompts.hypothetical_prompt(F.col("QuestionAsked")).alias("prompt"))
 
 
 @query(
     "rag_hyde",
-    f"""WITH {HYPOTHETICAL_CTE}, {DOC_VECTORS_CTE}, {st.vectors_sql('hv', 'hypothetical', 'item_id', 'text')},
-{st.hits_sql('hits', 'hv', 'dv', fixed.TOP_K)} {CONTEXT_SQL.format(rank='rank', hits='hits')}""",
+    f"""WITH {st.PIVOTED_CTE}, asked AS (SELECT "Id", coalesce("OutputAnswer", "QuestionAsked") AS text FROM pivoted),
+{DOC_VECTORS_CTE}, {st.vectors_sql('hv', 'asked', '"Id"', 'text')},
+{st.hits_sql('hits', 'hv', 'dv', fixed.TOP_K)} {EXCHANGE_CONTEXT_SQL.format(text='documents.text', rank='rank', hits='hits', source='documents', id='doc_id')}""",
 )
 def rag_hyde(spark, sf_dir):
-    turns = st.table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    recorded = turns.groupBy(F.col("conv_id").alias("item_id")).agg(F.min_by("text", "turn").alias("reply"))
-    asked = st.table(spark, sf_dir, "benchmark").join(recorded, "item_id", "left")
-    asked = asked.select("item_id", embedding_column(F.coalesce("reply", "text")).alias("values"))
+    """Every exchange: its recorded answer is the hypothetical text; without one the question itself."""
+    asked = st.pivoted(spark, sf_dir).select("Id", embedding_column(F.coalesce("OutputAnswer", "QuestionAsked")).alias("values"))
     contexts = retrieval.basic_contexts(
-        asked, st.doc_vectors(spark, sf_dir), st.table(spark, sf_dir, "documents"), question_id="item_id", doc_id="doc_id", text_col="text"
+        asked, st.doc_vectors(spark, sf_dir), st.table(spark, sf_dir, "documents"), question_id="Id", doc_id="doc_id", text_col="text"
     )
-    return contexts.select("item_id", "context")
+    return contexts.select("Id", "context")
+
+
+CODE_CTE = f"""{st.CODE_QA_CTE},
+pairs_of_text AS (SELECT "Id", concat("QuestionAsked", ' ', "OutputAnswer") AS pair_text FROM code_qa WHERE "DataSplit" = 'Training'),
+asked AS (SELECT "Id", "QuestionAsked" AS text FROM code_qa WHERE "DataSplit" <> 'Training' AND "QuestionAsked" IS NOT NULL)"""
+
+
+@query(
+    "rag_code",
+    f"""WITH {CODE_CTE}, {st.vectors_sql('pv', 'pairs_of_text', '"Id"', 'pair_text')}, {st.vectors_sql('av', 'asked', '"Id"', 'text')},
+{st.hits_sql('hits', 'av', 'pv', fixed.TOP_K)}, {st.bm25_sql('bm', 'SELECT "Id" AS id, text FROM asked', 'pairs_of_text', '"Id"', 'pair_text')},
+reranked AS (
+  SELECT h.query_id, h.match_id, row_number() OVER (PARTITION BY h.query_id ORDER BY coalesce(b.score, 0.0) DESC, h.rank) AS new_rank
+  FROM hits h LEFT JOIN bm b ON b.query_id = h.query_id AND b.match_id = h.match_id)
+{EXCHANGE_CONTEXT_SQL.format(text='pair_text', rank='new_rank', hits='reranked', source='pairs_of_text p', id='p."Id"').replace('SELECT "Id", coalesce', 'SELECT asked."Id", coalesce').replace('ON query_id = "Id"', 'ON query_id = asked."Id"')}""",
+)
+def rag_code(spark, sf_dir):
+    """Questions outside the training split search the training pairs; all hits are kept and reranked."""
+    split = stage(st.code_qa(spark, sf_dir), "code-qa")
+    asked = split.filter((F.col("DataSplit") != "Training") & F.col("QuestionAsked").isNotNull()).select("Id", F.col("QuestionAsked").alias("text"))
+    pairs = split.filter(F.col("DataSplit") == "Training").select(F.col("Id").alias("pair_id"), concat_lenient(F.col("QuestionAsked"), F.col("OutputAnswer")).alias("text"))
+    contexts = retrieval.reranked_contexts(
+        embed(asked, "text"), embed(pairs, "text").select("pair_id", "values"), pairs, question_id="Id", question_text="text", doc_id="pair_id", text_col="text", fetch=fixed.TOP_K, keep=None
+    )
+    return contexts.select("Id", "context")
 
 
 BM25_CTE = st.bm25_sql("bm", "SELECT item_id AS id, text FROM benchmark", "documents", "doc_id", "text")

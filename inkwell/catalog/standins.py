@@ -14,7 +14,7 @@ from inkwell.functions.text import answer_key, extract_number
 from inkwell.operators.embed import embedding_column
 from inkwell.operators.ordering import train_val_test_split
 from inkwell.operators.skew import spread_small_input
-from inkwell.plans.corpora import pivot_messages
+from inkwell.plans.corpora import TURNS, exchanges
 from inkwell.plans.runs import score_run
 
 RUN_DATE = datetime.date(2024, 3, 1)
@@ -169,14 +169,16 @@ ROLE_COLUMNS = {"user": "QuestionAsked", "system": "QuestionInput", "assistant":
 
 
 def pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first message of each role per conversation, side by side."""
-    return pivot_messages(table(spark, sf_dir, "conversations"), "conv_id", "role", "text", ROLE_COLUMNS, order="turn")
+    """One row per exchange: a user turn, the assistant turn after it, and the conversation's system text."""
+    return exchanges(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", ROLE_COLUMNS)
 
 
-PIVOTED_CTE = """pivoted AS (
-  SELECT conv_id + 1 AS "Id", max(text) FILTER (role = 'user') AS "QuestionAsked", max(text) FILTER (role = 'system') AS "QuestionInput",
-    max(text) FILTER (role = 'assistant') AS "OutputAnswer"
-  FROM (SELECT conv_id, role, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id, role) GROUP BY conv_id)"""
+PIVOTED_CTE = f"""spoken AS (SELECT conv_id, turn - CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS spot, role, text FROM conversations WHERE role IN ('user', 'assistant')),
+systems AS (SELECT conv_id, max(text) AS system_text FROM conversations WHERE role = 'system' GROUP BY conv_id),
+pairs_of_turns AS (SELECT conv_id, spot, max(text) FILTER (role = 'user') AS question, max(text) FILTER (role = 'assistant') AS answer FROM spoken GROUP BY conv_id, spot),
+pivoted AS (
+  SELECT coalesce(p.conv_id, s.conv_id) * {TURNS} + coalesce(spot, 0) + 1 AS "Id", question AS "QuestionAsked", system_text AS "QuestionInput", answer AS "OutputAnswer"
+  FROM pairs_of_turns p FULL JOIN systems s ON p.conv_id = s.conv_id)"""
 
 
 def code_qa(spark: SparkSession, sf_dir: str) -> DataFrame:

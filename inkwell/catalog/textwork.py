@@ -115,6 +115,61 @@ def grader_prompts(spark, sf_dir):
     return kinds.select("Id", "kind", prompts.grader_prompt(question, F.col("OutputAnswer")).alias("prompt"))
 
 
+def _message_rows(df, ids: list[str]):
+    """One row per message: place, role, length and digest of the content."""
+    parts = df.select(*ids, F.posexplode("messages").alias("place", "message"))
+    return parts.select(
+        *ids, F.col("place").cast("long").alias("place"), "message.role", F.length("message.content").cast("long").alias("n_chars"), F.md5("message.content").alias("content_md5")
+    )
+
+
+def _messages_sql(source: str, ids: str, system: str, user: str) -> str:
+    return f"""SELECT {ids}, place, role, length(content) AS n_chars, md5(content) AS content_md5 FROM (
+  SELECT {ids}, CAST(0 AS BIGINT) AS place, 'system' AS role, {system} AS content FROM {source}
+  UNION ALL SELECT {ids}, 1, 'user', {user} FROM {source})"""
+
+
+GRADER_USER_SQL = f"""CASE WHEN kind = 'relevance' THEN {template_sql('relevance_user')} || chr(10) || 'Question: ' || "QuestionAsked" || chr(10) || 'Answer: ' || "OutputAnswer"
+  ELSE {template_sql('quality_user')} || chr(10) || "OutputAnswer" END"""
+GRADER_SYSTEM_SQL = f"CASE WHEN kind = 'relevance' THEN {template_sql('relevance_system')} ELSE {template_sql('quality_system')} END"
+
+
+@query(
+    "grader_messages",
+    f"""WITH {st.PIVOTED_CTE}, graded AS (SELECT "Id", kind, "QuestionAsked", "OutputAnswer" FROM pivoted, (VALUES ('relevance'), ('quality')) AS kinds(kind)
+  WHERE "QuestionAsked" IS NOT NULL AND "OutputAnswer" IS NOT NULL) {_messages_sql('graded', '"Id", kind', GRADER_SYSTEM_SQL, GRADER_USER_SQL)}""",
+)
+def grader_messages(spark, sf_dir):
+    """Relevance and quality requests for every answered exchange, with their system halves."""
+    answered = st.pivoted(spark, sf_dir).filter(F.col("QuestionAsked").isNotNull() & F.col("OutputAnswer").isNotNull())
+    kinds = answered.select("Id", "QuestionAsked", "OutputAnswer", F.explode(F.array(F.lit("relevance"), F.lit("quality"))).alias("kind"))
+    question = F.when(F.col("kind") == "relevance", F.col("QuestionAsked"))
+    return _message_rows(kinds.withColumn("messages", prompts.grader_messages(question, F.col("OutputAnswer"))), ["Id", "kind"])
+
+
+EXTRACTION_USER_SQL = f"{template_sql('extraction_user')} || chr(10) || 'Question: ' || answer || chr(10) || 'Answer: ' || answer"
+
+
+@query("extraction_messages", f"WITH {st.ATTEMPTS_CTE} {_messages_sql('attempts', 'question_id, variant, attempt', template_sql('extraction_system'), EXTRACTION_USER_SQL)}")
+def extraction_messages(spark, sf_dir):
+    asked = st.attempts(spark, sf_dir).withColumn("messages", prompts.extraction_messages(F.col("answer")))
+    return _message_rows(asked, ["question_id", "variant", "attempt"])
+
+
+CANDIDATE_ROWS_SQL = "(VALUES " + ", ".join(f"({r}, {st.sql_text(c)})" for r, c in st.CANDIDATES) + ") AS proposed(round, candidate)"
+
+
+@query(
+    "evaluation_messages",
+    f"""WITH {st.QA_CTE}, asked AS (SELECT "Id", round, candidate, "QuestionAsked" FROM qa CROSS JOIN {CANDIDATE_ROWS_SQL})
+{_messages_sql('asked', '"Id", round, candidate', template_sql('search_evaluation') + " || chr(10) || candidate", '"QuestionAsked"')}""",
+)
+def evaluation_messages(spark, sf_dir):
+    """The messages that evaluate every proposed sentence on every question."""
+    asked = search.with_candidates(st.qa(spark, sf_dir).select("Id", "QuestionAsked"), st.CANDIDATES)
+    return _message_rows(asked.withColumn("messages", prompts.evaluation_messages(F.col("candidate"), F.col("QuestionAsked"))), ["Id", "round", "candidate"])
+
+
 @query(
     "parse_candidates",
     f"""WITH lines AS (

@@ -54,6 +54,11 @@ def coding_prompt(question: Column) -> Column:
     return F.concat(template("coding_user"), F.lit("\n"), question)
 
 
+def hypothetical_prompt(question: Column) -> Column:
+    """What a model is asked for before the search: a text that might answer the question."""
+    return F.concat(F.lit(fixed.HYPOTHETICAL_PREFIX), question)
+
+
 def rag_prompt(question: Column, rag: Column, context: Column) -> Column:
     asked = F.concat(template("coding_user"), F.lit("\nQuestion: "), question)
     return F.when(rag, F.concat(F.lit("Context: "), F.coalesce(context, F.lit("")), F.lit("\n"), asked)).otherwise(asked)

@@ -11,9 +11,14 @@ from inkwell.functions.prompts import tuning_record
 from inkwell.functions.text import concat_lenient, concat_strict
 from inkwell.operators.embed import Encoder, embedding_column, hashed_words_encoder
 from inkwell.operators.ordering import holdout, seeded_limit
+from inkwell.operators.skew import broadcast_if_small, join_unique
+from inkwell.session import stage
 from inkwell.sources.schema import require_unique
 from inkwell.sources.vectors import vector_record
 
+#: Turns that a conversation can have; exchange ids are conversation * TURNS + turn + 1.
+TURNS = 1 << 20
+
 
 def pivot_messages(
     df: DataFrame, index: str, type_col: str, value: str, columns: dict[str, str], order: str | None = None
@@ -35,6 +40,31 @@ def pivot_messages(
     return wide.select((F.col(index) + 1).alias("Id"), *columns.values())
 
 
+def exchanges(
+    df: DataFrame, conversation: str, turn: str, type_col: str, value: str, columns: dict[str, str], user: str = "user", assistant: str = "assistant", system: str = "system"
+) -> DataFrame:
+    """Long messages to one row per exchange, so that every message is used.
+
+    An exchange is named by its user's turn; an assistant's message belongs to the turn before it, with or
+    without a user's message there. The system text stands in all exchanges of its conversation, or alone when there
+    are none. Turns are below TURNS. A repeated turn or a second system text is an error. No window runs over a
+    conversation, so a conversation of any length is spread like any other rows.
+    """
+    place = F.col(turn) - F.when(F.col(type_col) == assistant, 1).otherwise(0)
+    spoken = df.filter(F.col(type_col).isin(user, assistant)).withColumn("_exchange", F.col(conversation) * F.lit(TURNS) + place)
+    pairs = pivot_messages(spoken, "_exchange", type_col, value, {user: columns[user], assistant: columns[assistant]})
+    pairs = pairs.withColumn("_conversation", F.floor((F.col("Id") - 1) / F.lit(TURNS)).cast("long"))
+    systems = df.filter(F.col(type_col) == system).select(F.col(conversation).cast("long").alias("_conversation"), F.col(value).alias(columns[system]))
+    require_unique(systems, ["_conversation"])
+    systems = stage(systems, "system-texts")
+    known = join_unique(pairs, systems, "_conversation", "left")
+    alone = systems.join(broadcast_if_small(stage(pairs.select("_conversation").distinct(), "conversations")), "_conversation", "left_anti")
+    empty = [F.lit(None).cast("string").alias(columns[kind]) for kind in (user, assistant)]
+    rest = alone.select((F.col("_conversation") * F.lit(TURNS) + 1).alias("Id"), *empty, columns[system])
+    order = ["Id", *columns.values()]
+    return known.select(*order).unionByName(rest.select(*order))
+
+
 def news_corpus(
     news: DataFrame,
     holdout_rows: int = fixed.HOLDOUT_ROWS,

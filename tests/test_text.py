@@ -38,6 +38,12 @@ def test_verdict(spark):
     assert evaluate(spark, texts, tx.verdict) == ["yes", "no", "needs improvement", "unknown", "unknown", "yes", "unknown"]
 
 
+def test_verdict_is_a_whole_word(spark):
+    words = ["Not sure", "None of it", "Yesterday it ran", "**Yes**", "'no'", '"No" it is', "(yes)", "yes_man", "No-one knows", "no't", "Yes!", "`needs improvement`: x", "needs improvements", "noël", "yes1", "\u201cYes\u201d"]
+    expected = ["unknown", "unknown", "unknown", "yes", "no", "no", "yes", "unknown", "unknown", "unknown", "yes", "needs improvement", "unknown", "unknown", "unknown", "yes"]
+    assert evaluate(spark, words, tx.verdict) == expected
+
+
 def test_code(spark):
     texts = ["a\n```python\nx = 1\n```\nb\n```\ny\n```", "plain", None, "```\nunclosed"]
     assert evaluate(spark, texts, tx.extract_code) == ["x = 1\n\ny\n", "plain", None, "```\nunclosed"]
