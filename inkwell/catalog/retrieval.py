@@ -10,12 +10,13 @@ from inkwell.functions import fixed, prompts
 from inkwell.functions.text import concat_lenient
 from inkwell.operators import bm25, knn, ordering
 from inkwell.operators.embed import embed, embedding_column
+from inkwell.operators.skew import join_unique
 from inkwell.plans import corpora, retrieval
 from inkwell.plans.runs import qa_sample as sample_pair
 from inkwell.session import stage
 
 DIM = 64
-LSH_TABLES, LSH_BITS = 4, 4
+LSH_TABLES, LSH_BITS, LSH_PROBES = 8, 8, 3
 
 
 def sampled_sql(source: str, id_col: str, n: int, seed: int | float, columns: str) -> str:
@@ -101,19 +102,58 @@ SIGNS_SQL = f"""signs AS (
 @query(
     "knn_lsh",
     f"""WITH {SIGNS_SQL},
-buckets AS (
-  SELECT vec_id, t, sum(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), plane) >= 0 THEN 1 << b ELSE 0 END) AS bucket
-  FROM embeddings, signs GROUP BY vec_id, t),
-near AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS match_id FROM buckets q JOIN buckets c ON q.t = c.t AND q.bucket = c.bucket AND q.vec_id <> c.vec_id)
-{ranked_sql(f"SELECT p.* FROM ({PAIRS_SQL}) p JOIN near USING (query_id, match_id)", fixed.TOP_K)}""",
+margins AS (SELECT vec_id, t, b, list_dot_product(CAST(embedding AS DOUBLE[]), plane) AS margin FROM embeddings, signs),
+places AS (SELECT *, row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(margin), b) AS closeness FROM margins),
+buckets AS (SELECT vec_id, t, sum(CASE WHEN margin >= 0 THEN 1 << b ELSE 0 END) AS bucket FROM places GROUP BY vec_id, t),
+asked AS (SELECT vec_id, t, bucket FROM buckets UNION ALL
+  SELECT vec_id, t, bucket + CASE WHEN margin >= 0 THEN -(1 << b) ELSE 1 << b END FROM buckets JOIN places USING (vec_id, t) WHERE closeness <= {LSH_PROBES}),
+near AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS match_id FROM asked q JOIN buckets c ON q.t = c.t AND q.bucket = c.bucket AND q.vec_id <> c.vec_id),
+found AS ({ranked_sql(f"SELECT p.* FROM ({PAIRS_SQL}) p JOIN near USING (query_id, match_id)", fixed.TOP_K)}),
+exact AS ({ranked_sql(PAIRS_SQL, fixed.TOP_K)}),
+shares AS (SELECT e.query_id, avg(CASE WHEN f.match_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS recall
+  FROM exact e LEFT JOIN found f ON f.query_id = e.query_id AND f.match_id = e.match_id GROUP BY e.query_id)
+SELECT query_id, match_id, score, rank, recall FROM found JOIN shares USING (query_id)""",
 )
 def knn_lsh(spark, sf_dir):
+    """Bucketed neighbours, each query with the share of its exact neighbours that were found."""
     embeddings = st.table(spark, sf_dir, "embeddings")
     hits = knn.knn_bucketed(
         embeddings, embeddings, fixed.TOP_K, query_id="vec_id", query_vec="embedding", corpus_id="vec_id", corpus_vec="embedding",
-        dim=DIM, tables=LSH_TABLES, bits=LSH_BITS, skip_same=True,
+        dim=DIM, tables=LSH_TABLES, bits=LSH_BITS, probes=LSH_PROBES, skip_same=True,
     )
-    return hits.withColumn("rank", F.col("rank").cast("long"))
+    hits = stage(hits.withColumn("rank", F.col("rank").cast("long")), "bucket-hits")
+    return join_unique(hits, knn.recall(hits, _self_hits(spark, sf_dir)), "query_id")
+
+
+DAMAGED_SQL = f"""damaged AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label NOT IN (3, 4, 6, 7, 8) AND NOT (label = 5 AND len(list_filter(embedding, lambda x: x > 0.2)) > 0))"""
+
+
+@query(
+    "knn_dirty",
+    f"""WITH {DAMAGED_SQL}, pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS match_id, round(list_cosine_similarity(q.v, c.v), 6) AS score
+  FROM damaged q JOIN damaged c ON q.vec_id <> c.vec_id)
+SELECT way, hits.* FROM ({ranked_sql('SELECT * FROM pairs', fixed.TOP_K)}) hits CROSS JOIN (VALUES ('broadcast'), ('cells'), ('buckets')) AS ways(way)""",
+)
+def knn_dirty(spark, sf_dir):
+    """Vectors cut short, null, holding nulls, infinities or NaN, or zero: the same matches on all three ways."""
+    v = F.col("embedding").cast("array<double>")
+    one = lambda value: F.concat(F.array(F.lit(float(value))), F.slice(v, 2, DIM - 1))
+    damaged = (
+        F.when(F.col("label") == 3, F.slice(v, 1, 60)).when(F.col("label") == 4, F.lit(None))
+        .when(F.col("label") == 5, F.transform(v, lambda x: F.when(x.cast("float") <= 0.2, x)))
+        .when(F.col("label") == 6, one("inf")).when(F.col("label") == 7, one("nan")).when(F.col("label") == 8, F.transform(v, lambda x: x * 0))
+        .otherwise(v)
+    )
+    rows = st.table(spark, sf_dir, "embeddings").select("vec_id", damaged.alias("v"))
+    options = dict(query_id="vec_id", query_vec="v", corpus_id="vec_id", corpus_vec="v", skip_same=True)
+    ways = {
+        "broadcast": knn.knn_join(rows, rows, fixed.TOP_K, **options),
+        "cells": knn.knn_join(rows, rows, fixed.TOP_K, **options, max_broadcast_queries=0, corpus_chunk=64, query_chunk=64, pivots=8),
+        "buckets": knn.knn_bucketed(rows, rows, fixed.TOP_K, **options, dim=DIM, tables=1, bits=0, corpus_chunk=128, query_chunk=128),
+    }
+    named = [hits.select(F.lit(way).alias("way"), "query_id", "match_id", "score", F.col("rank").cast("long").alias("rank")) for way, hits in ways.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 @query(

@@ -30,7 +30,7 @@ class TopK:
         width = scores.shape[1]
         if width == 0 or self.n_queries == 0:
             return
-        live = np.flatnonzero(scores.max(axis=1) >= self.floor - 1.0 / _UNITS)
+        live = np.flatnonzero(np.fmax.reduce(scores, axis=1) >= self.floor - 1.0 / _UNITS)  # a NaN is no match and hides none
         by_id = np.argsort(ids, kind="stable")
         part, ids = scores[live][:, by_id], ids[by_id]
         matched = np.isfinite(part)

@@ -57,6 +57,27 @@ def test_search_in_empty_corpus(spark, vectors, how):
     assert knn.knn_join(frame.limit(0), frame, 3, **OPTIONS, **how).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"max_broadcast_queries": 0, "pivots": 3, "corpus_chunk": 8}])
+def test_damaged_vectors_match_nothing_and_hide_nothing(spark, how):
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(20)]
+    bad = [(50, [1.0]), (51, [0.0, 1.0, 0.0, 1.0]), (52, None), (53, [float("inf"), 1.0, 1.0]), (54, [float("nan"), 1.0, 1.0]), (55, [0.0] * 3), (56, [None, 1.0, 1.0]), (57, [])]
+    frame = spark.createDataFrame(rows + bad, "id long, v array<double>").coalesce(1)
+    assert found(knn.knn_join(frame, frame, 4, **OPTIONS, **how)) == brute(rows, 4)
+    assert found(knn.knn_bucketed(frame, frame, 4, **OPTIONS, dim=3, tables=1, bits=0)) == brute(rows, 4)
+
+
+def test_very_large_values_keep_their_direction(spark):
+    frame = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [0.0, 3.0])], "id long, v array<double>")
+    assert {(r["query_id"], r["match_id"]): r["score"] for r in knn.knn_join(frame, frame, 2, **OPTIONS).collect()}[0, 1] == 0.707107
+
+
+def test_probes_raise_recall(spark, vectors):
+    frame, _ = vectors
+    exact = knn.knn_join(frame, frame, 5, **OPTIONS)
+    shares = [knn.recall(knn.knn_bucketed(frame, frame, 5, **OPTIONS, dim=DIM, tables=2, bits=6, probes=p), exact).agg(F.avg("recall")).first()[0] for p in (0, 3)]
+    assert shares[1] > shares[0]
+
+
 def test_text_ids(spark, vectors):
     frame, rows = vectors
     named = frame.filter("id < 40").select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), "v")
