@@ -135,14 +135,6 @@ def _flat(batch: pa.RecordBatch, dtype: str) -> tuple[np.ndarray, np.ndarray, np
     return ids, first, np.repeat(batch.column("n").to_numpy(), lengths)
 
 
-def word_ends(tokenizer_path: str, size: int) -> np.ndarray:
-    """Which ids end a word, by the suffix that the tokenizer gives them."""
-    tokenizer = encoder(tokenizer_path).tokenizer
-    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
-    names = [tokenizer.id_to_token(i) or "" for i in range(size)]
-    return np.array([bool(suffix) and n.endswith(suffix) for n in names])
-
-
 def build_vocabulary(counts: DataFrame, tokenizer_path: str, texts: int, end_id: int = END_ID) -> Vocabulary:
     """Classes and the count model from all counted words.
 
@@ -151,7 +143,8 @@ def build_vocabulary(counts: DataFrame, tokenizer_path: str, texts: int, end_id:
     """
     dtype = encoder(tokenizer_path).dtype
     size = max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1)
-    ends = word_ends(tokenizer_path, size)
+    ends = np.zeros(size, bool)
+    ends[: len(encoder(tokenizer_path).ends_word)] = encoder(tokenizer_path).ends_word
     words = word_ids(counts, tokenizer_path)
 
     def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

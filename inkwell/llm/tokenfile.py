@@ -33,8 +33,9 @@ SAMPLE_CHARS = 16_384
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 BLOCK_BYTES = 256 * 1024
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 WORDS_PER_CALL = 2_000
+MARKS = b".,;:!?"
 
 
 def words_stand_alone(definition: dict) -> bool:
@@ -73,11 +74,56 @@ class Encoder:
         self.dtype = id_type(self.tokenizer)
         self.cached_words = cached_words
         self.cache: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        suffix = getattr(self.model, "end_of_word_suffix", None)
+        self.by_words &= bool(suffix)
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix or " ") for i in range(self.tokenizer.get_vocab_size())])
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _learn(self, words: list[bytes]) -> None:
+        """Keep the ids of some words, each by the cheapest exact way.
+
+        Letters and the marks behind them are pieces of their own. Lower-case ASCII letters pass the
+        normaliser as they are, so they go to the library's model directly; other letters in one call with
+        spaces between, told apart by the ids that end a word; all the rest with a special token between.
+        """
+        spaced, rest = [], []
+        for word in words:
+            core = word.rstrip(MARKS)
+            if core.isalpha():
+                self.cache[word] = self._letters(core.lower()) + self._tail(word[len(core) :])
+            elif core and core.decode().isalpha():
+                spaced.append((word, core))
+            else:
+                rest.append(word)
+        for start in range(0, len(spaced), WORDS_PER_CALL):
+            part = spaced[start : start + WORDS_PER_CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(c.decode() for _, c in part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):  # some letter became more than a letter
+                rest += [word for word, _ in part]
+                continue
+            for (word, core), low, high in zip(part, [0, *ends.tolist()], ends.tolist()):
+                self.cache[word] = ids[low:high].tobytes() + self._tail(word[len(core) :])
+        self._learn_marked(rest)
+
+    def _letters(self, core: bytes) -> bytes:
+        known = self.cache.get(core)
+        if known is None:
+            known = np.array([t.id for t in self.model.tokenize(core.decode())], self.dtype).tobytes()
+        return known
+
+    def _tail(self, tail: bytes) -> bytes:
+        if tail and tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._plain(tail.decode()).tobytes()
+        return self.tails[tail] if tail else b""
+
+    def _learn_marked(self, words: list[bytes]) -> None:
         """Many words in one call, with a special token between them, which the library cuts out first."""
         mark = self.special[0].decode()
         mark_id = self.tokenizer.token_to_id(mark)
@@ -120,7 +166,9 @@ class Encoder:
         """The ids of a whole text."""
         if not self.by_words:
             return self._plain(text or "").tobytes()
-        return b"".join(map(self.encode_block, word_blocks(text, lower=False)))
+        # the normaliser lowers case anyway, but a special token is found before that
+        lower = not any(s[:1].decode() in (text or "") for s in self.special)
+        return b"".join(map(self.encode_block, word_blocks(text, lower=lower)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
