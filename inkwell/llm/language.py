@@ -113,7 +113,7 @@ def _given_language(rows: DataFrame, key: str, name: str, languages: list[str],
     value gets in each language, or an even share over the values when None. Values are few for suffixes and
     declared languages; their number is only counted.
     """
-    counts = stage(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*_sums(languages)), f"language-{name}")
+    counts = stage(rows.filter(F.col(key) != "").groupBy(key).agg(*_sums(languages)), f"language-{name}")
     totals = counts.agg(F.count(F.lit(1)).alias("values"), *[F.coalesce(F.sum(f"s{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(len(languages))]).first()
     values = max(1, totals["values"])
 
@@ -167,7 +167,7 @@ def identify(
     chain = suffixes(F.col("host"), SITE_LABELS)
     rows = text_evidence(named, languages, table).select(
         "id", "host", F.expr("nullif(declared, '')").alias("declared"), F.element_at(chain, -1).alias("site"),
-        F.expr("nullif(substring_index(host, '.', -1), '')").alias("suffix"), "text_logs", _shares(F.col("text_logs")).alias("q"),
+        F.substring_index("host", ".", -1).alias("suffix"), "text_logs", _shares(F.col("text_logs")).alias("q"),
     )
     rows = stage(rows, "language-rows")
     declared = _given_language(rows, "declared", "declared_logs", languages, F.col("declared"))

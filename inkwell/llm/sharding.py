@@ -9,7 +9,9 @@ from inkwell.operators.skew import HOT_ROWS, join_unique
 from inkwell.session import stage
 
 SHARDS = 16
-ROUNDS = 6
+ROUNDS = 8
+#: A shard with less than this share of its places free takes no more linked rows.
+LEAST_ROOM = 0.05
 GRAIN = 1 << 20
 
 
@@ -73,7 +75,7 @@ def propagate(links: DataFrame, capacity: int, shards: int = SHARDS, rounds: int
         for row in labels.groupBy("shard").count().collect():
             load[row["shard"]] = row["count"]
         state = stage(links.join(labels, "node"), "shard-state")
-        asked = stage(_proposals(_tallies(state, shards, hot_rows), [n < capacity for n in load]), "shard-moves")
+        asked = stage(_proposals(_tallies(state, shards, hot_rows), [n < capacity * (1 - LEAST_ROOM) for n in load]), "shard-moves")
         pairs = asked.filter(F.col("best") != F.col("shard")).groupBy("shard", "best").count().collect()
         if not pairs:
             break
