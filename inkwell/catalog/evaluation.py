@@ -12,7 +12,7 @@ from inkwell.functions import fixed
 from inkwell.functions.text import extract_number
 from inkwell.operators.responses import attach_responses as attach
 from inkwell.plans import attempts as at, corpora, runs, search
-from inkwell.session import fresh_path
+from inkwell.session import fresh_path, stage
 from inkwell.sources import tables
 from inkwell.sources.cache import with_content_key
 
@@ -233,6 +233,49 @@ def best_prompt_eval(spark, sf_dir):
     return runs.score_run(answers, keys, st.RUN_DATE, "OPRO")
 
 
+SEARCHED_CTE = f"""{st.QA_CTE}, {st.KEYS_CTE},
+sampled AS (SELECT "Id" FROM (SELECT "Id", row_number() OVER (ORDER BY md5('{fixed.SEARCH_SEED}:' || "Id"), "Id") AS pos FROM qa) WHERE pos <= {fixed.SEARCH_SAMPLE}),
+asked AS (SELECT "Id", "ExtractedAnswer", round, candidate, substr(md5(candidate || ':' || "Id"), 1, 1) AS d FROM keys JOIN sampled USING ("Id") CROSS JOIN {CANDIDATES_SQL}),
+responded AS (SELECT *, {st.REPLY_SQL.format(d='d', v='"ExtractedAnswer"')} AS response FROM asked),
+scores AS (SELECT round, candidate, avg(CASE WHEN {st.extract_number_sql('response')} - "ExtractedAnswer" = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS score
+  FROM responded GROUP BY round, candidate)"""
+
+
+@query(
+    "prompt_search_run",
+    f"""WITH {SEARCHED_CTE} SELECT round, candidate, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY round ORDER BY score DESC, candidate DESC) AS pos FROM scores) WHERE pos = 1""",
+)
+def prompt_search_run(spark, sf_dir):
+    """The whole search with a recorded model: each round proposes three sentences, asked on the seeded training sample."""
+    asked, _ = runs.qa_sample(st.qa(spark, sf_dir), st.keys(spark, sf_dir), fixed.SEARCH_SAMPLE, fixed.SEARCH_SEED)
+    asked = stage(asked, "search-sample")
+    keys = st.keys(spark, sf_dir).join(F.broadcast(asked.select("Id")), "Id", "left_semi")  # as many rows as the sample
+    replies = iter(["\n".join(f"[{c}]" for r, c in st.CANDIDATES if r == number) for number in (1, 2, 3)])
+    return search.prompt_search(spark, asked, keys, lambda prompt: next(replies), lambda rows: _answered(rows, keys), rounds=3)
+
+
+RETRY_LIMIT = 6
+
+
+@query(
+    "retry_loop_run",
+    f"""WITH {st.ATTEMPTS_CTE},
+asked AS (SELECT DISTINCT doc_id, variant, quality, toxic FROM pairs),
+tries AS (SELECT *, CAST(unnest(generate_series(1, {RETRY_LIMIT})) AS INTEGER) AS attempt FROM asked),
+looped AS (SELECT *, substr(md5(variant || '/' || attempt || ':' || doc_id), 1, 1) AS s FROM tries),
+firsts AS (SELECT doc_id, variant, min(attempt) AS attempt FROM looped WHERE {st.verdict_sql(st.relevance_sql('s'))} = 'yes' GROUP BY ALL)
+SELECT a.doc_id AS question_id, a.variant, f.attempt,
+  CASE WHEN f.attempt IS NULL THEN NULL ELSE {st.code_sql(st.ANSWER_SQL.format(s='l.s', id='a.doc_id', attempt='f.attempt'))} END AS code,
+  CASE WHEN f.attempt IS NULL THEN 'unresolved' ELSE {st.verdict_sql(st.QUALITY_SQL.format(toxic='a.toxic', quality='a.quality'))} END AS quality
+FROM asked a LEFT JOIN firsts f ON f.doc_id = a.doc_id AND f.variant = a.variant
+LEFT JOIN looped l ON l.doc_id = a.doc_id AND l.variant = a.variant AND l.attempt = f.attempt""",
+)
+def retry_loop_run(spark, sf_dir):
+    """The live loop over all documents and variants with a recorded model, judge and grader."""
+    return at.retry_loop(st.attempt_pairs(spark, sf_dir), st.generated, st.judged_relevant, st.graded, limit=RETRY_LIMIT)
+
+
 # ---- attempts and comparisons -------------------------------------------------------------------
 
 

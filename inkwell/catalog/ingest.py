@@ -143,8 +143,7 @@ def delete_where_reload(spark, sf_dir):
     spark.sql(f"CREATE TABLE {name} (doc_id BIGINT, quality INT) USING parquet LOCATION '{path}'")
     tables.load(spark, marked, name)
     again = labels.filter("quality = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.lit(2).alias("quality"))
-    tables.replace_after_delete(spark, name, F.col("quality") == 0, again)
-    return _taken_out(spark, name, path)
+    return _taken_out(spark, name, tables.replace_after_delete(spark, name, F.col("quality") == 0, again))
 
 
 @query("sql_script", f'WITH {st.QA_CTE}, {st.KEYS_CTE} SELECT "Id", "ExtractedAnswer" FROM keys')
@@ -174,13 +173,14 @@ def parquet_roundtrip(spark, sf_dir):
 
 @query(
     "report_readback",
-    """SELECT role AS run, replace(split_part('Question: ' || text || chr(10) || '===============' || chr(10) || 'Answer: ' || turn, '===============', 1),
+    """SELECT lpad(CAST(turn AS VARCHAR), 3, '0') AS run, replace(split_part('Question: ' || text || chr(10) || '===============' || chr(10) || 'Answer: ' || turn, '===============', 1),
   'Question: ', '') AS question FROM conversations""",
 )
 def report_readback(spark, sf_dir):
     path = fresh_path(spark, "reports")
-    asked = st.table(spark, sf_dir, "conversations").withColumn("answer", F.col("turn").cast("string"))
-    reports.write_reports(asked, path, "role", "text", "answer")
+    turn = F.col("turn").cast("string")
+    asked = st.table(spark, sf_dir, "conversations").withColumn("answer", turn).withColumn("run", F.lpad(turn, 3, "0"))
+    reports.write_reports(asked, path, "run", "text", "answer")
     return reports.read_reports(spark, path).select("run", reports.report_question(F.col("value")).alias("question"))
 
 
@@ -210,8 +210,9 @@ CHECKSUM_SQL = "round(list_sum(list_transform({v}, lambda x, i: CAST(x AS DOUBLE
 batch AS (
   SELECT id, list_reverse(v) AS v, '1' AS version, label, 1 AS seq FROM stored WHERE label >= 5
   UNION ALL SELECT id, list_transform(v, lambda x: -x), '2', label, 2 FROM stored WHERE label >= 7
+  UNION ALL SELECT id, v, '3', label, NULL FROM stored WHERE label IN (2, 7)
   UNION ALL SELECT 'new-' || id, v, '1', label, 1 FROM stored WHERE label < 2),
-latest AS (SELECT id, v, version, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS pos FROM batch) WHERE pos = 1),
+latest AS (SELECT id, v, version, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) AS pos FROM batch) WHERE pos = 1),
 merged AS (SELECT id, v, version, label FROM stored WHERE id NOT IN (SELECT id FROM batch) UNION ALL SELECT id, v, version, label FROM latest)
 SELECT id, version, CAST(label AS VARCHAR) AS label, {CHECKSUM_SQL.format(v='v')} AS checksum FROM merged""",
 )
@@ -226,7 +227,14 @@ def vector_upsert(spark, sf_dir):
     turned = embeddings.filter("label >= 5").select(*record("1", F.reverse("embedding")), F.lit(1).alias("seq"))
     negated = embeddings.filter("label >= 7").select(*record("2", F.transform("embedding", lambda x: -x)), F.lit(2).alias("seq"))
     added = embeddings.filter("label < 2").select(*record("1", F.col("embedding"), "new-"), F.lit(1).alias("seq"))
-    merged = vectors.upsert(stored, tables.union_runs([turned, negated, added]), "seq")
+    unordered = embeddings.filter("label IN (2, 7)").select(*record("3", F.col("embedding")), F.lit(None).cast("int").alias("seq"))
+    batch = tables.union_runs([turned, negated, added, unordered])
+    name, path = f"inkwell_{uuid.uuid4().hex}", fresh_path(spark, "vectors")
+    spark.sql(f"CREATE TABLE {name} (id STRING, values ARRAY<FLOAT>, metadata MAP<STRING, STRING>) USING parquet LOCATION '{path}'")
+    vectors.rebuild_vectors(stored, path, 64)
+    spark.catalog.refreshTable(name)
+    vectors.upsert_table(spark, name, batch, "seq")
+    merged = _taken_out(spark, name, vectors.upsert_table(spark, name, batch, "seq"))  # the second time changes nothing
     return merged.select(
         "id", F.col("metadata")["version"].alias("version"), F.col("metadata")["label"].alias("label"), _checksum("values").alias("checksum")
     )

@@ -261,33 +261,58 @@ def bm25_sql(name: str, questions_sql: str, docs: str, doc_id: str, text: str) -
 # ---- judged attempts from documents and labels --------------------------------------------------
 
 
+#: What the judge said, by the digit of an attempt: verdicts, decorated ones, and words that only begin like one.
+RELEVANCE = {
+    **dict.fromkeys("01", "Yes"), "2": " yes.\n", "3": "**Yes**", "4": "Not sure", "5": "Yesterday it ran", "6": "'no'", "7": "None of it",
+    "8": "(yes) it does", "9": "Yes-man", "a": "No.", **dict.fromkeys("bcd", "no"), "e": "maybe", "f": "NEEDS IMPROVEMENT, names",
+}
+OPENING_MARKS = "\"'*_`.([‘“ \t\n"
+CLOSING_MARKS = "'’-"
+WORD_BREAK = r"[^\p{L}\p{N}_'" + "’-]+"
+
+
+def attempt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, variant, quality_mark, toxic) of every document under every variant."""
+    variant = F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant")
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("quality_mark"), "toxic")
+    pairs = documents(spark, sf_dir).select("doc_id").join(marks, "doc_id", "left")
+    return pairs.select(F.col("doc_id").alias("question_id"), variant, "quality_mark", "toxic")
+
+
+def _attempt_sign() -> Column:
+    return digit(F.concat(F.col("variant"), F.lit("/"), F.col("attempt").cast("string")), F.col("question_id"))
+
+
+def generated(rows: DataFrame) -> DataFrame:
+    """What the recorded model answers to (question_id, variant, attempt)."""
+    number = F.col("question_id").cast("string")
+    fenced = F.concat(F.lit("Try this:\n```python\nprint("), number, F.lit(")\n```\nor\n```\nreturn "), F.col("attempt").cast("string"), F.lit("\n```\n"))
+    return rows.withColumn("answer", F.when(_attempt_sign() <= "b", fenced).otherwise(F.concat(F.lit("print("), number, F.lit(")"))))
+
+
+def judged_relevant(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("relevance", F.element_at(F.create_map(*[F.lit(x) for pair in RELEVANCE.items() for x in pair]), _attempt_sign()))
+
+
+def graded(rows: DataFrame) -> DataFrame:
+    quality = (
+        F.when(F.col("toxic") == 1, F.lit("No, it fails."))
+        .when(F.col("quality_mark") == 1, F.lit("Yes"))
+        .when(F.col("quality_mark") == 0, F.lit("Needs improvement: names"))
+        .otherwise(F.lit("Hard to say"))
+    )
+    return rows.withColumn("quality", quality)
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, variant, attempt, answer, relevance, quality): up to 30 attempts per pair.
 
     Half of the pairs have one attempt, most others a few, and some run past the step limit.
     """
-    docs = documents(spark, sf_dir).select("doc_id")
-    marks = table(spark, sf_dir, "labels")
-    variant = F.explode(F.array(*[F.lit(v) for v in VARIANTS])).alias("variant")
-    pairs = docs.join(marks, "doc_id", "left").select("doc_id", "quality", "toxic", variant)
-    length = digit(F.col("variant"), F.col("doc_id"))
+    length = digit(F.col("variant"), F.col("question_id"))
     tries = F.when(length <= "7", 1).when(length <= "e", 4).otherwise(30)
-    tried = pairs.select("*", F.explode(F.sequence(F.lit(1), tries)).alias("attempt"))
-    sign = digit(F.concat(F.col("variant"), F.lit("/"), F.col("attempt").cast("string")), F.col("doc_id"))
-    answer = F.when(
-        sign <= "b",
-        F.concat(F.lit("Try this:\n```python\nprint("), F.col("doc_id").cast("string"), F.lit(")\n```\nor\n```\nreturn "), F.col("attempt").cast("string"), F.lit("\n```\n")),
-    ).otherwise(F.concat(F.lit("print("), F.col("doc_id").cast("string"), F.lit(")")))
-    relevance = F.when(sign <= "1", F.lit("Yes")).when(sign == "2", F.lit(" yes.\n")).when(sign <= "d", F.lit("no")).otherwise(F.lit("maybe"))
-    quality = (
-        F.when(F.col("toxic") == 1, F.lit("No, it fails."))
-        .when(F.col("quality") == 1, F.lit("Yes"))
-        .when(F.col("quality") == 0, F.lit("Needs improvement: names"))
-        .otherwise(F.lit("Hard to say"))
-    )
-    return tried.select(
-        F.col("doc_id").alias("question_id"), "variant", "attempt", answer.alias("answer"), relevance.alias("relevance"), quality.alias("quality")
-    )
+    tried = attempt_pairs(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(1), tries)).alias("attempt"))
+    return graded(judged_relevant(generated(tried))).select("question_id", "variant", "attempt", "answer", "relevance", "quality")
 
 
 VARIANTS_SQL = "(VALUES " + ", ".join(f"({sql_text(v)})" for v in VARIANTS) + ") AS variants(variant)"
@@ -295,9 +320,20 @@ VARIANTS_SQL = "(VALUES " + ", ".join(f"({sql_text(v)})" for v in VARIANTS) + ")
 FENCE_SQL = r"(?s)```[a-zA-Z0-9_+-]*\n(.*?)```"
 
 
+def relevance_sql(digit_sql: str) -> str:
+    whens = " ".join(f"WHEN '{d}' THEN {sql_text(text)}" for d, text in RELEVANCE.items())
+    return f"CASE {digit_sql} {whens} END"
+
+
 def verdict_sql(text: str) -> str:
-    stripped = strip_sql(text)
-    return f"coalesce(nullif(regexp_extract(lower({stripped}), '^(yes|no|needs improvement)', 1), ''), 'unknown')"
+    """Written apart from the Spark form: the first words of the bare text are compared as words."""
+    bare = f"ltrim(lower({strip_sql(text)}), {sql_text(OPENING_MARKS)})"
+    words = f"regexp_split_to_array({bare}, {sql_text(WORD_BREAK)})"
+    first, second = (f"rtrim(coalesce({words}[{k}], ''), {sql_text(CLOSING_MARKS)})" for k in (1, 2))
+    return (
+        f"CASE WHEN {first} IN ('yes', 'no') THEN {first} "
+        f"WHEN starts_with({bare}, 'needs improvement') AND {second} = 'improvement' THEN 'needs improvement' ELSE 'unknown' END"
+    )
 
 
 def code_sql(text: str) -> str:
@@ -305,6 +341,10 @@ def code_sql(text: str) -> str:
     return f"CASE WHEN len({blocks}) > 0 THEN array_to_string({blocks}, chr(10)) ELSE {text} END"
 
 
+ANSWER_SQL = """CASE WHEN {s} <= 'b' THEN 'Try this:' || chr(10) || '```python' || chr(10) || 'print(' || {id} || ')' || chr(10) || '```' || chr(10) || 'or'
+      || chr(10) || '```' || chr(10) || 'return ' || {attempt} || chr(10) || '```' || chr(10) ELSE 'print(' || {id} || ')' END"""
+QUALITY_SQL = """CASE WHEN {toxic} = 1 THEN 'No, it fails.' WHEN {quality} = 1 THEN 'Yes' WHEN {quality} = 0 THEN 'Needs improvement: names' ELSE 'Hard to say' END"""
+
 ATTEMPTS_CTE = f"""pairs AS (
   SELECT doc_id, quality, toxic, variant, substr(md5(variant || ':' || doc_id), 1, 1) AS d
   FROM documents LEFT JOIN labels USING (doc_id) CROSS JOIN {VARIANTS_SQL}),
@@ -313,10 +353,9 @@ tried AS (
 signed AS (SELECT *, substr(md5(variant || '/' || attempt || ':' || doc_id), 1, 1) AS s FROM tried),
 attempts AS (
   SELECT doc_id AS question_id, variant, attempt,
-    CASE WHEN s <= 'b' THEN 'Try this:' || chr(10) || '```python' || chr(10) || 'print(' || doc_id || ')' || chr(10) || '```' || chr(10) || 'or'
-      || chr(10) || '```' || chr(10) || 'return ' || attempt || chr(10) || '```' || chr(10) ELSE 'print(' || doc_id || ')' END AS answer,
-    CASE WHEN s <= '1' THEN 'Yes' WHEN s = '2' THEN ' yes.' || chr(10) WHEN s <= 'd' THEN 'no' ELSE 'maybe' END AS relevance,
-    CASE WHEN toxic = 1 THEN 'No, it fails.' WHEN quality = 1 THEN 'Yes' WHEN quality = 0 THEN 'Needs improvement: names' ELSE 'Hard to say' END AS quality
+    {ANSWER_SQL.format(s='s', id='doc_id', attempt='attempt')} AS answer,
+    {relevance_sql('s')} AS relevance,
+    {QUALITY_SQL.format(toxic='toxic', quality='quality')} AS quality
   FROM signed)"""
 
 FIRST_CTE = ATTEMPTS_CTE + f""",

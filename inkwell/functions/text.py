@@ -11,7 +11,8 @@ DROPPED = r"[a-zA-Z$%/'=+(), ]+"
 NUMBER = r"^-?([0-9]+(_[0-9]+)*|[0-9]+(_[0-9]+)*\.([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)\z"
 
 CODE_FENCE = r"(?s)```[a-zA-Z0-9_+-]*\n(.*?)```"
-VERDICT = r"^(yes|no|needs improvement)"
+# a verdict is a whole word; quotes, stars, brackets and dots may stand around it
+VERDICT = r"""^[\s"'*_`.(\[\u2018\u201c]*(yes|no|needs improvement)(?![\p{L}\p{N}_]|[-'\u2019][\p{L}\p{N}])"""
 TOKEN_BREAK = "[^a-z0-9]+"
 
 
@@ -65,6 +66,10 @@ def candidate_lines(reply: Column) -> Column:
 
 
 def verdict(text: Column) -> Column:
+    """yes, no or needs improvement when the text begins with that whole word; else unknown.
+
+    "Not sure", "None" and "Yesterday" are unknown; `**Yes**`, `'no'` and `(yes)` are verdicts.
+    """
     found = F.regexp_extract(F.lower(strip_blanks(text)), VERDICT, 1)
     return F.coalesce(F.nullif(found, F.lit("")), F.lit("unknown"))
 

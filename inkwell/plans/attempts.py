@@ -72,11 +72,13 @@ def retry_loop(questions: DataFrame, generate: Step, judge: Step, grade: Step, l
         open_rows = tried.filter(F.col("relevance") != "yes").select(*questions.columns)
         if open_rows.isEmpty():
             break
-    graded = [grade(part).withColumn("quality", verdict(F.col("quality"))) for part in resolved]
+    # all resolved rows in one piece, graded once and staged, so that reading the result does not grade again
+    accepted = resolved[0]
+    for part in resolved[1:]:
+        accepted = accepted.unionByName(part)
+    graded = stage(grade(accepted).withColumn("quality", verdict(F.col("quality"))), "graded")
     columns = ["question_id", "variant", "attempt", "code", "quality"]
-    done = graded[0].select(*columns)
-    for part in graded[1:]:
-        done = done.unionByName(part.select(*columns))
+    done = graded.select(*columns)
     unresolved = open_rows.select(
         "question_id", "variant", F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("string").alias("code"), F.lit("unresolved").alias("quality")
     )

@@ -10,6 +10,7 @@ from inkwell.functions import fixed
 from inkwell.functions.prompts import first_search_prompt, history_search_prompt
 from inkwell.functions.text import candidate_lines, extract_number, is_correct
 from inkwell.operators.skew import join_unique
+from inkwell.session import stage
 
 Propose = Callable[[str], str]
 Answer = Callable[[DataFrame], DataFrame]
@@ -78,7 +79,9 @@ def prompt_search(
         proposed = [(number, r["candidate"]) for r in parse_candidates(reply, "reply").orderBy("place").collect()]
         if not proposed:
             continue
-        winner = best_per_round(candidate_scores(answer(with_candidates(questions, proposed)), keys)).first()
+        # staged, so that measuring and joining do not ask again
+        answered = stage(answer(with_candidates(questions, proposed)), "answered")
+        winner = best_per_round(candidate_scores(answered, keys)).first()
         if winner is not None:
             history.append((winner["round"], winner["candidate"], winner["score"]))
     return spark.createDataFrame(history, schema).orderBy(F.desc("score"), F.asc("round"))

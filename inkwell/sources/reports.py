@@ -30,7 +30,8 @@ def write_reports(df: DataFrame, path: str, run_col: str, question_col: str, ans
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("lineSep", RECORD_END).text(path)
+    """(value, run): run names are text as they were written, so `001` stays `001`."""
+    raw = spark.read.schema("value string, run string").option("lineSep", RECORD_END).text(path)
     text = F.replace(F.replace(F.col("value"), F.lit("\\s"), F.lit(RECORD_END)), F.lit("\\b"), F.lit("\\"))
     return raw.withColumn("value", text)
 

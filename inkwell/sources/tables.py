@@ -7,11 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkwell.session import fresh_path
+from inkwell.operators.skew import broadcast_if_small
+from inkwell.session import fresh_path, stage
 from inkwell.sources.schema import require_unique, table_schema
 
-LOAD_CHUNK_ROWS = 100_000
-
 
 def create_table(
     spark: SparkSession,
@@ -51,17 +50,24 @@ def load(
     *,
     overwrite: bool = True,
     keys: list[str] | None = None,
-    chunk_rows: int = LOAD_CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> None:
     """Replace or extend a table. With `keys`, a null or repeated key stops the load first.
 
-    `chunk_rows` bounds the rows per written file.
+    The check groups the batch alone; an append then looks the batch's keys up among the stored ones, which
+    are not shuffled while the batch's keys are measured small. `chunk_rows` bounds the rows per file.
     """
     ordered = _in_table_order(spark, df, table)
     if keys:
-        stored = spark.table(table).select(*keys)
-        require_unique(ordered.select(*keys) if overwrite else stored.unionByName(ordered.select(*keys)), keys)
-    writer = ordered.write.option("maxRecordsPerFile", chunk_rows).mode("overwrite" if overwrite else "append")
+        own = stage(ordered.select(*keys), "load-keys")
+        require_unique(own, keys)
+        if not overwrite:
+            taken = spark.table(table).select(*keys).join(broadcast_if_small(own), keys, "left_semi").limit(5).collect()
+            if taken:
+                raise ValueError(f"key {keys} is already stored: {[r.asDict() for r in taken]}")
+    writer = ordered.write.mode("overwrite" if overwrite else "append")
+    if chunk_rows:
+        writer = writer.option("maxRecordsPerFile", chunk_rows)
     writer.insertInto(table)
 
 
@@ -70,13 +76,23 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.filter(~F.coalesce(predicate, F.lit(False)))
 
 
-def replace_after_delete(spark: SparkSession, table: str, predicate: Column, new_rows: DataFrame) -> None:
-    """Delete by predicate, then insert. The new version is written apart before the swap."""
-    kept = delete_where(spark.table(table), predicate)
-    version = kept.unionByName(_in_table_order(spark, new_rows, table))
-    path = fresh_path(spark, "table-version")
+def point_at(spark: SparkSession, table: str, version: DataFrame, path: str | None = None) -> str:
+    """Write a new version of a table to a folder of its own and let the table point there.
+
+    One write; until the table points at the whole new folder it keeps the old one, which
+    readers that have begun can finish. Returns the folder.
+    """
+    path = path or fresh_path(spark, "table-version")
     version.write.parquet(path)
-    spark.read.schema(version.schema).parquet(path).write.mode("overwrite").insertInto(table)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+    spark.catalog.refreshTable(table)
+    return path
+
+
+def replace_after_delete(spark: SparkSession, table: str, predicate: Column, new_rows: DataFrame) -> str:
+    """Delete by predicate, then insert, as a new version of the table. Returns its folder."""
+    kept = delete_where(spark.table(table), predicate)
+    return point_at(spark, table, kept.unionByName(_in_table_order(spark, new_rows, table)))
 
 
 def split_statements(script: str) -> list[str]:

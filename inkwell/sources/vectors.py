@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkwell.operators.skew import broadcast_if_small
+from inkwell.session import stage
+from inkwell.sources.tables import point_at
 
 
 def vector_record(record_id: Column, values: Column, metadata: dict[str, Column]) -> list[Column]:
@@ -18,11 +20,13 @@ def vector_record(record_id: Column, values: Column, metadata: dict[str, Column]
 
 
 def latest_per_id(batch: DataFrame, order_col: str) -> DataFrame:
-    """Last write per id. A partial aggregate keeps one row per id and task before the shuffle."""
+    """Last write per id. A partial aggregate keeps one row per id and task before the shuffle.
+
+    A null order comes before any other; of equal orders the record whose JSON text has the larger md5 stays.
+    """
     rest = [c for c in batch.columns if c not in ("id", order_col)]
-    return (
-        batch.groupBy("id").agg(F.max_by(F.struct(*rest), order_col).alias("_last")).select("id", *[F.col(f"_last.{c}").alias(c) for c in rest])
-    )
+    order = F.struct(F.col(order_col).isNotNull(), F.col(order_col), F.md5(F.to_json(F.struct(*rest))))
+    return batch.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("_last")).select("id", *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
 def upsert(stored: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
@@ -32,6 +36,11 @@ def upsert(stored: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
     return kept.select(*stored.columns).unionByName(latest.select(*stored.columns))
 
 
+def upsert_table(spark: SparkSession, table: str, batch: DataFrame, order_col: str) -> str:
+    """Write a batch over a stored vector table as its next version. Returns the folder."""
+    return point_at(spark, table, upsert(spark.table(table), stage(batch, "vector-batch"), order_col))
+
+
 def wrong_dimension(df: DataFrame, dim: int, values_col: str = "values") -> DataFrame:
     """Records that an index of this dimension refuses: no vector, wrong length, or a null inside."""
     values = F.col(values_col)

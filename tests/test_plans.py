@@ -61,6 +61,30 @@ def test_pivot(spark):
         corpora.pivot_messages(frame.unionByName(frame.limit(1)), "c", "kind", "text", names)
 
 
+def test_exchanges_use_every_message(spark):
+    names = {"user": "QuestionAsked", "system": "QuestionInput", "assistant": "OutputAnswer"}
+    rows = [(0, 0, "system", "s"), (0, 1, "user", "u1"), (0, 2, "assistant", "a1"), (0, 3, "user", "u2"), (1, 0, "user", "u3"), (1, 1, "user", "u4"), (1, 2, "assistant", "a4"), (1, 3, "assistant", "a5"), (2, 0, "system", "alone")]
+    frame = spark.createDataFrame(rows, "c long, t long, kind string, text string")
+    wide = [tuple(r)[1:] for r in corpora.exchanges(frame, "c", "t", "kind", "text", names).orderBy("Id").collect()]
+    assert wide == [("u1", "s", "a1"), ("u2", "s", None), ("u3", None, None), ("u4", None, "a4"), (None, None, "a5"), (None, "alone", None)]
+    assert sum(x is not None for r in wide for x in (r[0], r[2])) + len({r[1] for r in wide} - {None}) == len(rows)
+    with pytest.raises(ValueError):
+        corpora.exchanges(frame.unionByName(frame.filter("text = 'u1'")), "c", "t", "kind", "text", names)
+
+
+def test_graded_once(spark, tmp_path):
+    questions = spark.createDataFrame([(i, "v", f"q{i}") for i in range(6)], "question_id long, variant string, question string")
+
+    @F.udf("string")
+    def asked(number):
+        (tmp_path / f"{number}-{uuid.uuid4().hex}").write_text("")
+        return "Yes"
+
+    grade = lambda df: df.withColumn("quality", asked("question_id"))
+    done = at.retry_loop(questions, lambda df: df.withColumn("answer", F.lit("x")), lambda df: df.withColumn("relevance", F.lit("**Yes**")), grade)
+    assert done.count() == 6 and len(done.collect()) == 6 and len(list(tmp_path.iterdir())) == 6
+
+
 def test_context_keeps_rank_and_blank(spark):
     hits = spark.createDataFrame([(1, 10, 0.9, 2), (1, 11, 0.95, 1)], "query_id long, match_id long, score double, rank int")
     docs = spark.createDataFrame([(10, "ten\n\nparts"), (11, "eleven")], "id long, text string")

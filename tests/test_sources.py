@@ -1,12 +1,13 @@
 import uuid
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from inkwell.operators import responses
 from inkwell.session import fresh_path, stage, work_dir
 from inkwell.sources import reports, schema, tables, vectors
-from inkwell.sources.cache import compute_or_reuse, missing_from_cache
+from inkwell.sources.cache import compute_or_reuse, missing_from_cache, one_per_key
 
 CONFIG = [
     {"Column_Name": "Id", "Column_Type": "Integer", "Primary_Key": True, "Source_Exclude": True, "New_Name": "Id"},
@@ -161,6 +162,55 @@ def test_client_retries_and_repeats(spark):
     assert partly.filter("response IS NULL").count() == 20 and partly.count() == 30
 
 
+def test_every_prompt_is_asked_once_in_many_tasks(spark, tmp_path):
+    def make():
+        task = TaskContext.get().partitionId()
+
+        def client(prompts):
+            with open(tmp_path / f"task-{task}-{uuid.uuid4().hex}", "w") as file:
+                file.write("\n".join(prompts))
+            return [p.upper() for p in prompts]
+
+        return client
+
+    frame = spark.range(30_000).select("id", F.concat(F.lit("p"), (F.col("id") % 20_000).cast("string")).alias("prompt"))
+    out = responses.attach_responses(frame, "prompt", fresh_path(spark, "store"), make, hot_rows=100)
+    assert out.filter("response = upper(prompt)").count() == 30_000 and out.count() == 30_000
+    asked = [line for file in tmp_path.iterdir() for line in file.read_text().split("\n")]
+    assert len(asked) == len(set(asked)) == 20_000
+    assert len({file.name.split("-")[1] for file in tmp_path.iterdir()}) > 1
+
+
+def test_a_key_stored_twice_gives_one_row(spark):
+    cache = spark.createDataFrame([("k", "b"), ("k", "a"), ("m", None)], "content_key string, response string")
+    assert sorted(map(tuple, one_per_key(cache).collect())) == [("k", "a"), ("m", None)]
+
+
+def test_null_order_comes_first_and_ties_are_settled(spark):
+    kind = "id string, values array<float>, metadata map<string,string>, seq int"
+    batch = spark.createDataFrame([("a", [1.0], {"v": "x"}, None), ("a", [2.0], {"v": "y"}, 1), ("b", [3.0], {"v": "z"}, None), ("c", [4.0], {}, 5), ("c", [5.0], {}, 5)], kind)
+    found = [sorted((r["id"], r["values"]) for r in vectors.latest_per_id(f, "seq").collect()) for f in (batch, batch.orderBy(F.rand(1)).repartition(3))]
+    assert found[0] == found[1] and found[0][:2] == [("a", [2.0]), ("b", [3.0])]
+
+
+def test_upsert_writes_the_next_version(spark):
+    name, path = f"t_{uuid.uuid4().hex}", fresh_path(spark, "vectors")
+    kind = "id string, values array<float>, metadata map<string,string>"
+    spark.sql(f"CREATE TABLE {name} (id STRING, values ARRAY<FLOAT>, metadata MAP<STRING, STRING>) USING parquet LOCATION '{path}'")
+    spark.createDataFrame([("a", [1.0], {}), ("b", [2.0], {})], kind).write.insertInto(name)
+    batch = spark.createDataFrame([("b", [3.0], {}, 1)], kind + ", seq int")
+    for _ in range(2):
+        vectors.upsert_table(spark, name, batch, "seq")
+        assert sorted((r["id"], r["values"]) for r in spark.table(name).collect()) == [("a", [1.0]), ("b", [3.0])]
+    assert spark.read.parquet(path).count() == 2  # the old version is still whole
+
+
+def test_run_names_stay_text(spark):
+    path = fresh_path(spark, "reports")
+    reports.write_reports(spark.createDataFrame([("001", "q", "a"), ("2", "q", "a")], "run string, q string, a string"), path, "run", "q", "a")
+    assert sorted(r["run"] for r in reports.read_reports(spark, path).collect()) == ["001", "2"]
+
+
 def test_stage_lives_in_the_shared_folder(spark):
     staged = stage(spark.range(3), "x")
     assert all(work_dir(spark) in f for f in staged.inputFiles())
