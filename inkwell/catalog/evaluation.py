@@ -331,5 +331,5 @@ SELECT "Id", record, CAST(len(regexp_extract_all(record, '[^ \\n]+')) AS BIGINT)
 def sft_dataset(spark, sf_dir):
     dataset = corpora.tuning_dataset(st.code_qa(spark, sf_dir))
     path = fresh_path(spark, "tuning")
-    tables.write_parquet(dataset, path)
+    tables.write_parquet(dataset, path, tasks=spark.sparkContext.defaultParallelism)
     return spark.read.schema(dataset.schema).parquet(path).withColumn("n_words", F.col("n_words").cast("long"))

@@ -16,6 +16,7 @@ from inkwell.operators.ordering import train_val_test_split
 from inkwell.operators.skew import spread_small_input
 from inkwell.plans.corpora import TURNS, exchanges
 from inkwell.plans.runs import score_run
+from inkwell.session import stage
 
 RUN_DATE = datetime.date(2024, 3, 1)
 SPLIT_SEED = 42
@@ -184,6 +185,7 @@ pivoted AS (
 def code_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pivoted conversations with an empty text for a missing input, and their split."""
     filled = pivoted(spark, sf_dir).withColumn("QuestionInput", F.coalesce("QuestionInput", F.lit("")))
+    filled = stage(filled, "exchanges")  # each count of the split reads it again
     return train_val_test_split(filled, "Id", SPLIT_SEED)
 
 

@@ -1,25 +1,20 @@
-"""BM25 scores of documents for questions."""
+"""BM25 scores of documents for questions, in one pass over the documents."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkwell.functions.text import token_bytes, tokens
+from inkwell.functions.text import tokens
 from inkwell.operators.knn import rank_matches
-from inkwell.operators.skew import HOT_ROWS, broadcast_if_small, few_tasks, is_small, join_unique
-from inkwell.operators.topk import SCORE_DIGITS, TopK
+from inkwell.operators.skew import HOT_ROWS, is_small, join_unique
+from inkwell.operators.topk import SCORE_DIGITS
 from inkwell.session import stage
 
 K1 = 1.2
 B = 0.75
 MAX_BROADCAST_TERMS = 500_000
-MAX_BROADCAST_QUERIES = 20_000
-DOC_CHUNK_CELLS = 4_000_000
+#: The term that stands for the document itself; no token is empty.
+WHOLE = ""
 
 
 def question_terms(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,74 +32,35 @@ def _one_row_each(df: DataFrame) -> DataFrame:
     return df.select(*others, F.explode_outer("words").alias("term")).filter(F.col("term").isNotNull())
 
 
-def corpus_weights(docs: DataFrame, text_col: str, terms: DataFrame) -> tuple[DataFrame, float]:
-    """(term, idf) for the asked terms, and the mean document length in tokens.
+def term_counts(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, max_broadcast_terms: int = MAX_BROADCAST_TERMS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Staged (match_id, length, term, tf) of the asked terms, and a WHOLE row for every document with a text.
 
-    One pass over the corpus: the empty term, which no token equals, stands for the document itself
-    and carries its length. Counts are summed per task before the shuffle, so a term in every
-    document costs one row per task. The counts are staged, because later steps read them again.
+    The only pass over the documents: weights and scores come from these narrow rows. All words of a document
+    are in one task, so counting leaves one row per document and term before the shuffle. When the terms
+    are too many to broadcast, that counting comes first and the join with the terms salts hot ones.
     """
-    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
-    words = docs.filter(F.col(text_col).isNotNull()).select(tokens(F.col(text_col)).alias("words"))
-    listed = words.select(F.size("words").alias("length"), F.concat(F.array(F.lit("")), F.array_distinct("words")).alias("words"))
-    spread = _one_row_each(listed)
-    counted = spread.join(broadcast_if_small(wanted, MAX_BROADCAST_TERMS), "term").groupBy("term")
-    seen = stage(counted.agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("total")), "bm25-terms")
-    whole = seen.filter("term = ''").first()
-    n_docs, total = (whole["df"], whole["total"]) if whole else (0, 0)
-    df = F.col("df").cast("double")
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - df + 0.5) / (df + 0.5))
-    return seen.filter("term <> ''").select("term", idf.alias("idf")), (total / n_docs if total else 1.0)
-
-
-def _saturated(tf: Column, length: Column, mean_length: float) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean_length)))
-
-
-def _term_counts(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """(match_id, length, term, tf) for the asked terms only."""
-    words = docs.select(F.col(id_col).alias("match_id"), tokens(F.col(text_col)).alias("words"))
-    spread = _one_row_each(words.select("match_id", F.size("words").alias("length"), "words"))
-    wanted = broadcast_if_small(terms.select("term").distinct(), MAX_BROADCAST_TERMS)
-    return spread.join(wanted, "term").groupBy("match_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def _topk_broadcast(weighted: DataFrame, docs: DataFrame, id_col: str, text_col: str, mean_length: float, k: int) -> DataFrame:
-    """Each task scores its documents for all questions and returns k rows per question."""
-    q_type = weighted.schema["query_id"].dataType.simpleString()
-    d_type = docs.schema[id_col].dataType.simpleString()
-    local = weighted.toPandas()
-    query_ids, places = np.unique(local["query_id"].to_numpy(), return_inverse=True)
-    local["place"] = places
-    postings = {
-        term.encode(): (part["place"].to_numpy(), float(part["idf"].iloc[0]) * (K1 + 1)) for term, part in local.groupby("term")
-    }
-    shared = docs.sparkSession.sparkContext.broadcast((query_ids, postings))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, wanted = shared.value
-        best = TopK(len(ids), k)
-        step = max(16, DOC_CHUNK_CELLS // max(1, len(ids)))
-        for batch in batches:
-            batch = batch[batch["text"].notna()]
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start : start + step]
-                scores = np.zeros((len(ids), len(part)))
-                for column, text in enumerate(part["text"]):
-                    words = token_bytes(text)
-                    damping = K1 * (1 - B + B * len(words) / mean_length)
-                    found = [(wanted[term], tf) for term, tf in Counter(words).items() if term in wanted]
-                    if found:
-                        gains = [weight * tf / (tf + damping) for (_, weight), tf in found]
-                        sizes = [len(asking) for (asking, _), _ in found]
-                        asking = np.concatenate([asking for (asking, _), _ in found])
-                        scores[:, column] = np.bincount(asking, weights=np.repeat(gains, sizes), minlength=len(ids))
-                scores[scores <= 0] = -np.inf
-                best.add(scores, part["match_id"].to_numpy())
-        yield best.frame(ids)
-
-    texts = docs.select(F.col(id_col).alias("match_id"), F.col(text_col).alias("text"))
-    return few_tasks(texts).mapInPandas(search, f"query_id {q_type}, match_id {d_type}, score double")
+    words = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("match_id"), tokens(F.col(text_col)).alias("words"))
+    marked = words.select("match_id", F.size("words").alias("length"), F.concat(F.array(F.lit(WHOLE)), "words").alias("words"))
+    spread = _one_row_each(marked)
+    wanted = stage(terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit(WHOLE).alias("term"))), "bm25-terms")
+    counted = F.count(F.lit(1)).alias("tf")
+    if is_small(wanted, max_broadcast_terms):
+        return stage(spread.join(F.broadcast(wanted), "term").groupBy("match_id", "length", "term").agg(counted), "bm25-counts")
+    whole = stage(spread.groupBy("match_id", "length", "term").agg(counted), "bm25-all-counts")
+    return stage(join_unique(whole, wanted, "term", "left_semi", max_broadcast_rows=0, hot_rows=hot_rows, stable_left=True), "bm25-counts")
+
+
+def term_weights(counts: DataFrame) -> tuple[DataFrame, float]:
+    """(term, idf) of the counted terms, and the mean document length in tokens."""
+    n_docs, total = counts.filter(F.col("term") == WHOLE).agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    seen = counts.filter(F.col("term") != WHOLE).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return seen.select("term", idf.alias("idf")), (total / n_docs if total else 1.0)
+
+
+def _gain(mean_length: float) -> Column:
+    tf, length = F.col("tf").cast("double"), F.col("length")
+    return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean_length)))
 
 
 def bm25_topk(
@@ -116,38 +72,40 @@ def bm25_topk(
     question_text: str,
     doc_id: str,
     doc_text: str,
-    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+    max_broadcast_terms: int = MAX_BROADCAST_TERMS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The k best documents per question: (query_id, match_id, score, rank); no shared term, no row.
 
-    With measured-small questions the documents are never shuffled. Otherwise term counts join the
-    question terms with hot terms salted, and scores are pre-summed per task.
+    The counted terms are shuffled by document once. Questions come to them in blocks of at most
+    about `max_broadcast_terms` terms, so scores are summed where the document's terms are, and the ranking sends
+    k rows per question and task on: questions times documents is never shuffled.
     """
-    terms = question_terms(questions, question_id, question_text)
-    idf, mean_length = corpus_weights(docs, doc_text, terms)
-    weighted = stage(join_unique(terms, idf, "term", hot_rows=hot_rows).select("query_id", "term", "idf"), "bm25-questions")
-    if is_small(weighted, MAX_BROADCAST_TERMS) and is_small(questions.select(question_id), max_broadcast_queries):
-        partial = _topk_broadcast(weighted, docs, doc_id, doc_text, mean_length, k)
-    else:
-        counts = _term_counts(docs, doc_id, doc_text, terms)
-        matched = join_unique(counts, weighted, "term", max_broadcast_rows=max_broadcast_queries, hot_rows=hot_rows)
-        gain = F.col("idf") * _saturated(F.col("tf").cast("double"), F.col("length"), mean_length)
-        partial = matched.groupBy("query_id", "match_id").agg(F.round(F.sum(gain), SCORE_DIGITS).alias("score"))
-    return rank_matches(partial, k)
+    terms = stage(question_terms(questions, question_id, question_text), "bm25-questions")
+    counts = term_counts(docs, doc_id, doc_text, terms, max_broadcast_terms, hot_rows)
+    idf, mean_length = term_weights(counts)
+    weighted = stage(join_unique(terms, idf, "term", hot_rows=hot_rows, stable_left=True).select("query_id", "term", "idf"), "bm25-weighted")
+    matched = counts.filter(F.col("term") != WHOLE)
+    blocks = 1 if is_small(weighted, max_broadcast_terms) else 2 * -(-weighted.count() // max(1, max_broadcast_terms))
+    found = None
+    for block in range(blocks):
+        part = weighted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else weighted
+        here = matched.repartition("match_id").join(F.broadcast(part), "term")
+        # grouped by more than the documents are dealt by, so this aggregate needs no shuffle
+        summed = here.groupBy("query_id", "match_id").agg(F.round(F.sum(_gain(mean_length)), SCORE_DIGITS).alias("score"))
+        ranked = rank_matches(summed, k)
+        found = ranked if found is None else found.unionByName(ranked)
+    return found
 
 
 def bm25_rescore(pairs: DataFrame, questions: DataFrame, docs: DataFrame, *, question_id: str, question_text: str, doc_id: str, doc_text: str) -> DataFrame:
-    """`pairs` (query_id, match_id, ...) with a `bm25` column; 0 when no term is shared.
-
-    Only the documents named by the pairs are tokenised for counts.
-    """
-    terms = question_terms(questions, question_id, question_text)
-    idf, mean_length = corpus_weights(docs, doc_text, terms)
-    named = broadcast_if_small(pairs.select(F.col("match_id").alias(doc_id)).distinct())
-    counts = _term_counts(docs.join(named, doc_id, "left_semi"), doc_id, doc_text, terms)
-    weighted = join_unique(terms, idf, "term")
+    """`pairs` (query_id, match_id, ...) with a `bm25` column; 0 when no term is shared."""
+    terms = stage(question_terms(questions, question_id, question_text), "bm25-questions")
+    counts = term_counts(docs, doc_id, doc_text, terms)
+    idf, mean_length = term_weights(counts)
+    weighted = join_unique(terms, idf, "term", stable_left=True)
     wanted = pairs.select("query_id", "match_id").join(weighted, "query_id")
-    gain = F.col("idf") * _saturated(F.col("tf").cast("double"), F.col("length"), mean_length)
-    scores = wanted.join(counts, ["match_id", "term"]).groupBy("query_id", "match_id").agg(F.round(F.sum(gain), SCORE_DIGITS).alias("bm25"))
+    # a (document, term) is asked for by as many pairs as hold it, and its counts are one row
+    scored = join_unique(wanted, counts, ["match_id", "term"])
+    scores = scored.groupBy("query_id", "match_id").agg(F.round(F.sum(_gain(mean_length)), SCORE_DIGITS).alias("bm25"))
     return pairs.join(scores, ["query_id", "match_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))

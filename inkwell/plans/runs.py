@@ -71,10 +71,8 @@ def dim_runs(scored: DataFrame, dim_idx: int = 0) -> DataFrame:
 
 
 def fact_runs(scored: DataFrame, dim: DataFrame, fact_idx: int = 0) -> DataFrame:
-    """One row per scored answer, pointing at its run, numbered after `fact_idx`."""
-    # staged, so that measuring and joining do not score everything again
-    named = stage(dim.select("ModelId", *[F.col(c).alias(f"_{c}") for c in RUN_KEY]), "runs")
-    runs = broadcast_if_small(named)
+    """One row per scored answer, pointing at its run, numbered after `fact_idx`. Best given a staged dim, which is read twice."""
+    runs = broadcast_if_small(dim.select("ModelId", *[F.col(c).alias(f"_{c}") for c in RUN_KEY]))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RUN_KEY]
     matched = scored.join(runs, same).select("ModelId", "RowId", "OpenAIAnswer", "ExtractedAnswer", "IndCorrect")
     return dense_index(matched, ["ModelId", "RowId"], "Id", fact_idx + 1)

@@ -125,6 +125,7 @@ def max_id(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.coalesce(F.max(column), F.lit(0)).cast("long").alias("Id"))
 
 
-def write_parquet(df: DataFrame, path: str, level: int = 22) -> None:
-    writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
-    writer.parquet(path)
+def write_parquet(df: DataFrame, path: str, level: int = 22, tasks: int | None = None) -> None:
+    """Parquet with zstd. High levels cost far more than reading the rows, so few rows are best dealt over `tasks` tasks."""
+    frame = df.repartition(tasks) if tasks else df
+    frame.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)

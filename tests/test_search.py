@@ -133,7 +133,7 @@ def brute_bm25(k):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"max_broadcast_queries": 0, "hot_rows": 3}])
+@pytest.mark.parametrize("how", [{}, {"max_broadcast_terms": 3, "hot_rows": 3}])
 def test_bm25(spark, how):
     docs = spark.createDataFrame(TEXTS, "id long, text string")
     questions = spark.createDataFrame(QUESTIONS, "qid long, text string")
@@ -141,6 +141,17 @@ def test_bm25(spark, how):
     assert found(hits) == brute_bm25(3)
 
 
+def test_many_questions_shuffle_few_rows(spark):
+    """Scores are summed where the documents are: the only exchange above them carries k rows per question and task."""
+    docs = spark.createDataFrame([(i, f"common w{i % 7} x{i}") for i in range(400)], "id long, text string")
+    asked = spark.createDataFrame([(i, f"common w{i % 7}") for i in range(50)], "qid long, text string")
+    hits = bm25.bm25_topk(asked, docs, 2, question_id="qid", question_text="text", doc_id="id", doc_text="text")
+    assert hits.count() == 100
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("BroadcastHashJoin")]
+    assert "WindowGroupLimit" in top and top.count("Exchange") == 1 and "hashpartitioning(query_id" in top
+
+
 def test_rescore_equals_topk(spark):
     docs = spark.createDataFrame(TEXTS, "id long, text string")
     questions = spark.createDataFrame(QUESTIONS, "qid long, text string")
