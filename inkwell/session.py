@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_WORK_DIRS: dict[str, str] = {}
+_PATHS: list[str] = []
 
 
 def build_session(app_name: str = "inkwell", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -34,7 +36,7 @@ def work_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _LOCAL_WORK_DIRS:
@@ -43,7 +45,22 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the folders that this process has staged so far; frames that read them no longer work.
+
+    Returns how many there were. Call it once the results are written elsewhere.
+    """
+    conf, paths = spark._jsc.hadoopConfiguration(), list(_PATHS)
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    del _PATHS[: len(paths)]
+    return len(paths)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import os
 import uuid
 
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from inkwell import session
 from inkwell.operators import responses
 from inkwell.session import fresh_path, stage, work_dir
 from inkwell.sources import reports, schema, tables, vectors
@@ -216,6 +218,13 @@ def test_stage_lives_in_the_shared_folder(spark):
     assert all(work_dir(spark) in f for f in staged.inputFiles())
 
 
+def test_staged_folders_can_be_dropped(spark, monkeypatch):
+    monkeypatch.setattr(session, "_PATHS", [])
+    staged = stage(spark.range(3), "gone")
+    path = staged.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and session.drop_staged(spark) == 1 and not os.path.exists(path)
+
+
 def test_zstd(spark):
     path = fresh_path(spark, "z")
     tables.write_parquet(spark.range(10), path, 3)
