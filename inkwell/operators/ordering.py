@@ -92,6 +92,8 @@ def hash_cuts(
     """Row count and the (hash, id) pairs at the ranks that `ranks(row count)` asks for."""
     keyed = df.select(seeded_hash(seed, id_col).alias("_hash"), F.col(id_col).alias("_id"))
     level_one = _prefix_counts(keyed, 0)
+    if None in level_one:
+        raise ValueError(f"{level_one[None]} rows have a null {id_col}, which has no place in a seeded order")
     total = sum(level_one.values())
     return total, [_hash_cut(keyed, r, level_one) if 0 < r <= total else None for r in ranks(total)]
 
@@ -166,12 +168,12 @@ def _integer_cut(df: DataFrame, id_col: str, n: int) -> int | None:
 def holdout(df: DataFrame, id_col: str, n: int) -> tuple[DataFrame, DataFrame]:
     """(corpus, tail): the tail is the n rows with the largest unique integer ids.
 
-    Both parts are filters on the id, which a Parquet scan can use to skip row groups.
+    Rows without an id are in the corpus. Both parts are filters on the id, which a Parquet scan can use to skip row groups.
     """
     if n <= 0:
         return df, df.filter(F.lit(False))
     cut = _integer_cut(df, id_col, n)
     if cut is None:
         return df, df
-    return df.filter(F.col(id_col) < F.lit(cut)), df.filter(F.col(id_col) >= F.lit(cut))
+    return df.filter(F.col(id_col).isNull() | (F.col(id_col) < F.lit(cut))), df.filter(F.col(id_col) >= F.lit(cut))
 

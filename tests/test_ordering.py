@@ -78,6 +78,15 @@ def test_holdout(spark, monkeypatch, settled):
     assert corpus.count() == 400 and tail.count() == 0
 
 
+def test_null_ids_are_in_the_corpus_or_refused(spark):
+    frame = spark.createDataFrame([(1,), (2,), (None,), (3,)], "id long")
+    corpus, tail = ordering.holdout(frame, "id", 1)
+    assert sorted(str(r["id"]) for r in corpus.collect()) == ["1", "2", "None"] and [r["id"] for r in tail.collect()] == [3]
+    for draw in (lambda: ordering.exact_sample(frame, "id", 1, 1), lambda: ordering.seeded_limit(frame, "id", 1, 1), lambda: ordering.train_val_test_split(frame, "id", 1)):
+        with pytest.raises(ValueError, match="null id"):
+            draw()
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 @pytest.mark.parametrize("broadcast_rows", [0, 1000])
 def test_join_with_hot_key(spark, how, broadcast_rows):
