@@ -193,31 +193,43 @@ class Scorer:
         near = np.exp(p["near"] - p["near"].max())
         self.mask = np.where(age >= 0, near[np.clip(age, 0, 2 * BLOCK - 1)], 0).astype(np.float32)
         self.p = p
+        # no exponent can overflow when the largest products stay small, as they do; else exponents are clipped
+        longest = lambda x: float(np.sqrt((x * x).sum(-1)).max())
+        state = longest(p["embed"]) + longest(self.value[:, :-1])
+        outer = max(longest(p["group"].T), longest(p["member"].transpose(0, 2, 1)))
+        self.clipped = longest(self.query) * longest(self.key) > 60 or state * outer + np.abs(p["member_bias"]).max() + np.abs(p["group_bias"]).max() > 80
 
     def _chunk(self, own: np.ndarray, before: np.ndarray, opens: np.ndarray, goal: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the classes `goal` after the inputs `own` (blocks, BLOCK); `before` is the block before."""
         line = np.concatenate([before, own.ravel()])
-        key, value = self._overlapping(self.key[line]), self._overlapping(self.value[line])
-        weight = np.exp(np.minimum(self.query[own] @ key.transpose(0, 2, 1), 60))
+        key, value = (self._overlapping(x.take(line, axis=0)) for x in (self.key, self.value))
+        weight = self.query.take(own, axis=0) @ key.transpose(0, 2, 1)
+        if self.clipped:
+            np.minimum(weight, 60, out=weight)
+        np.exp(weight, out=weight)
         weight *= self.mask
         weight[opens, :, :BLOCK] = 0
         mixed = weight @ value
-        h = (self.embed[own] + mixed[..., :-1] / mixed[..., -1:]).reshape(-1, DEPTH)
+        h = (self.embed.take(own, axis=0) + mixed[..., :-1] / mixed[..., -1:]).reshape(-1, DEPTH)
         group = goal // MEMBERS
-        z = h @ self.p["group"] + self.p["group_bias"] + self.vocabulary.group_log[context]
-        found = z[np.arange(len(z)), group] - _log_sum(z)
+        z = h @ self.p["group"] + self.p["group_bias"] + self.vocabulary.group_log.take(context, axis=0)
+        found = z[np.arange(len(z)), group] - self._log_sum(z)
         order = np.argsort(group.astype(np.uint8), kind="stable")
         ends = np.cumsum(np.bincount(group, minlength=GROUPS))
-        z = self.vocabulary.member_log[(context * GROUPS + group)[order]]
-        sorted_h = h[order]
+        z = self.vocabulary.member_log.take((context * GROUPS + group)[order], axis=0)
+        sorted_h = h.take(order, axis=0)
         start = 0
         for k, end in enumerate(ends.tolist()):
             if end > start:
                 z[start:end] += sorted_h[start:end] @ self.p["member"][k] + self.p["member_bias"][k]
             start = end
-        found[order] += z[np.arange(len(z)), (goal % MEMBERS)[order]] - _log_sum(z)
+        found[order] += z[np.arange(len(z)), (goal % MEMBERS)[order]] - self._log_sum(z)
         return found
 
+    def _log_sum(self, z: np.ndarray) -> np.ndarray:
+        """Log of the summed exponentials of each row; the shares in every row keep it above zero."""
+        return np.log(np.exp(np.minimum(z, 80) if self.clipped else z) @ np.ones(z.shape[1], np.float32))
+
     @staticmethod
     def _overlapping(rows: np.ndarray) -> np.ndarray:
         """Each block of rows with the block before it, as a view."""
@@ -255,8 +267,3 @@ class Scorer:
         per_id = logp[spot].astype(np.float64) * LOG10E + self.vocabulary.log_share[(context == BEGIN).astype(np.int8), ids]
         sums = np.concatenate([[0.0], np.cumsum(per_id)])
         return sums[ends] - sums[ends - lengths]
-
-
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of each row; shares in every row keep it within range."""
-    return np.log(np.exp(np.minimum(z, 80)) @ np.ones(z.shape[1], np.float32))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +26,9 @@ ROUNDS = 1
 WINDOWS_PER_SHARD = 8_192
 #: The most frequent words, at most so many, are looked up inside tasks; all others are joined.
 FREQUENT_WORDS = 150_000
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
+#: Words whose ids a task keeps besides those of the frequent ones.
+RARE_WORDS = 50_000
 STEPS_PER_DOUBLING = 8
 
 
@@ -36,28 +40,32 @@ def is_held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
 def words_per_window(docs: DataFrame) -> int:
     """One training window for each so many words: their number grows with the square root of the source's bytes.
 
-    So windows grow with the corpus, more slowly than it; every text has one at least.
+    So windows grow with the corpus, more slowly than it.
     """
-    return max(WINDOW, math.isqrt(planned_bytes(docs)) // 40)
+    return max(WINDOW, math.isqrt(planned_bytes(docs)) // 30)
 
 
 def _windows(words: list[list[bytes]], n: int, tokenizer_path: str, end_id: int, seed: int, spacing: int) -> list[np.ndarray]:
-    """Id windows from seeded places of a text: one, and one more for each `spacing` words.
+    """Id windows from seeded places of a text: one for each `spacing` words, the rest of them by its odds.
 
     A window holds up to WINDOW - 1 ids after a place for the begin mark, which stands where a text starts; a window
     that reaches the end of the text ends with the end id.
     """
-    encode, found, draw = encoder(tokenizer_path), [], np.random.default_rng(seed)
-    flat = [w for block in words for w in block] if len(words) != 1 else words[0]
-    for _ in range(1 + n // spacing):
-        at = int(draw.integers(0, max(1, n)))
-        ids = np.frombuffer(encode.encode(b" ".join(flat[at : at + WINDOW]).decode()), encode.dtype).astype(np.int32)
+    draw = random.Random(seed)
+    encode, found = encoder(tokenizer_path, RARE_WORDS), []
+    times = int((n + 1) / spacing + draw.random())
+    flat = [w for block in words for w in block] if times and len(words) != 1 else words[0]
+    for _ in range(times):
+        at = draw.randrange(max(1, n))
+        part = flat[at : at + WINDOW]
+        ids = np.frombuffer(encode.encode_block(part), encode.dtype).astype(np.int32)
         if at + WINDOW >= n:
-            ids = np.concatenate([ids, [end_id]])
+            ids = np.append(ids, np.int32(end_id))
         if at == 0:
-            ids = np.concatenate([[-2], ids])
-        ids = ids[:WINDOW]
-        found.append(np.concatenate([ids, np.full(WINDOW - len(ids), -1)]).astype(np.int32))
+            ids = np.insert(ids, 0, -2)
+        window = np.full(WINDOW, -1, np.int32)
+        window[: min(WINDOW, len(ids))] = ids[:WINDOW]
+        found.append(window)
     return found
 
 
@@ -78,7 +86,7 @@ def gather(rows: DataFrame, tokenizer_path: str, spacing: int, end_id: int = END
             counts.clear()
             return found
 
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 1 << 20):
             windows = []
             for text, seed in zip(batch.column("text").to_pylist(), batch.column("seed").to_pylist()):
                 blocks, n = [], 0
@@ -114,29 +122,32 @@ def frequency_cut(counts: DataFrame, most: int) -> int:
 
 
 def word_ids(counts: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(ids, n): the token ids of each counted word, staged."""
+    """(word, ids, n): the token ids of each counted word, staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path)
+        own = encoder(tokenizer_path, RARE_WORDS)
         for batch in batches:
             found = own.encode_words(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("n")], names=["ids", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.binary()), batch.column("n")], names=["word", "ids", "n"])
 
-    return stage(counts.select("word", "n").mapInArrow(run, "ids binary, n long"), "lm-word-ids")
+    return stage(counts.select("word", "n").mapInArrow(run, "word binary, ids binary, n long"), "lm-word-ids")
 
 
 def _flat(batch: pa.RecordBatch, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids of a batch of words, whether each begins its word, and its count."""
-    parts = [np.frombuffer(x, dtype) for x in batch.column("ids").to_pylist()]
-    lengths = np.array([len(x) for x in parts], np.int64)
-    ids = np.concatenate([*parts, np.zeros(0, dtype)]).astype(np.int64)
+    """All ids of a batch of words, whether each begins its word, and its count, without an object per word."""
+    column = batch.column("ids").cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.dtype(dtype).itemsize
+    data = column.buffers()[2]
+    ids = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype).astype(np.int64) if data else np.zeros(0, np.int64)
+    starts, lengths = (ends[:-1] - ends[0]) // width, np.diff(ends) // width
     first = np.zeros(len(ids), bool)
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    first[starts[lengths > 0]] = True
     return ids, first, np.repeat(batch.column("n").to_numpy(), lengths)
 
 
-def build_vocabulary(counts: DataFrame, tokenizer_path: str, texts: int, end_id: int = END_ID) -> Vocabulary:
-    """Classes and the count model from all counted words.
+def build_vocabulary(words: DataFrame, tokenizer_path: str, texts: int, end_id: int = END_ID) -> Vocabulary:
+    """Classes and the count model from the ids and counts of all words.
 
     Two passes over the staged ids of the distinct words. The driver gets at most one row per id of the
     tokenizer, then one per context and class.
@@ -145,7 +156,7 @@ def build_vocabulary(counts: DataFrame, tokenizer_path: str, texts: int, end_id:
     size = max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1)
     ends = np.zeros(size, bool)
     ends[: len(encoder(tokenizer_path).ends_word)] = encoder(tokenizer_path).ends_word
-    words = word_ids(counts, tokenizer_path)
+    words = words.select("ids", "n")
 
     def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, opening = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -249,30 +260,42 @@ def lm_scores(
     counts = stage(corpus.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     train_tokens, types = words + texts, distinct + (texts > 0)
-    vocabulary = build_vocabulary(counts, tokenizer_path, texts, end_id)
+    counted = word_ids(counts, tokenizer_path)
+    vocabulary = build_vocabulary(counted, tokenizer_path, texts, end_id)
     flat = fit(corpus.filter("window IS NOT NULL").select("window"), vocabulary)
     cut = frequency_cut(counts, frequent_words)
-    frequent = {bytes(r["word"]): math.log10(r["n"] + 1) for r in counts.filter(F.col("n") >= cut).collect()}
+    # at most frequent_words rows
+    frequent = counted.filter(F.col("n") >= cut).select("word", "ids", F.log10(F.col("n") + 1).alias("log")).toArrow()
+    frequent = (frequent["word"].to_pylist(), [*frequent["ids"].to_pylist(), b""], frequent["log"].to_numpy())
     shared = spark.sparkContext.broadcast((frequent, vocabulary, flat))
     id_type = dict(read.dtypes)["id"]
     per_token, end_log = math.log10(train_tokens + types + 1), math.log10(texts + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own_vocabulary, own_flat = shared.value
-        scorer, encode = Scorer(own_vocabulary, own_flat), encoder(tokenizer_path)
+        (words, ids_of, logs_of), own_vocabulary, own_flat = shared.value
+        place_of = dict(zip(words, range(len(words)))).get
+        scorer, encode = Scorer(own_vocabulary, own_flat), encoder(tokenizer_path, RARE_WORDS)
         end = np.array([end_id])
         names = ["row", "id", "held_out", "n_tokens", "n_known", "log_sum", "score", "word", "n"]
-        for batch in text_slices(batches, "text", 2 << 20):
+        for batch in text_slices(batches, "text", 1 << 20):
             rows, base, sequences, rare = batch.column("row").to_pylist(), [], [], []
             for row, text in zip(rows, batch.column("text").to_pylist()):
                 n, found, logs, others = 1, int(texts > 0), end_log, Counter()
                 parts = []
                 for block in word_blocks(text):
-                    hits = [x for x in map(known.get, block) if x is not None]
-                    if len(hits) < len(block):
-                        others.update([w for w in block if w not in known])
-                    n, found, logs = n + len(block), found + len(hits), logs + math.fsum(hits)
-                    parts.append(encode.encode_block(block))
+                    places = list(map(place_of, block, itertools.repeat(-1)))
+                    known = np.array(places, np.int64)
+                    pieces = list(map(ids_of.__getitem__, places))  # the last place is empty
+                    left = np.flatnonzero(known < 0).tolist()
+                    if left:
+                        strange = [block[k] for k in left]
+                        others.update(strange)
+                        new = encode.ids_of(strange)
+                        for k, word in zip(left, strange):
+                            pieces[k] = new[word]
+                    known = known[known >= 0]
+                    n, found, logs = n + len(block), found + len(known), logs + float(logs_of[known].sum())
+                    parts += pieces
                 rare += [(row, w, c) for w, c in others.items()]
                 base.append((n, found, logs))
                 sequences.append(np.concatenate([np.frombuffer(b"".join(parts), encode.dtype).astype(np.int64), end]))

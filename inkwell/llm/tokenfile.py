@@ -33,9 +33,21 @@ SAMPLE_CHARS = 16_384
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 BLOCK_BYTES = 256 * 1024
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 WORDS_PER_CALL = 2_000
 MARKS = b".,;:!?"
+#: Lower-case letters before this one (Latin-1) are single characters that normalising leaves as they are.
+LATIN_END = "\u0100"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level tokenizers write for bytes: themselves if printable, else from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + k for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 def words_stand_alone(definition: dict) -> bool:
@@ -60,8 +72,9 @@ def words_stand_alone(definition: dict) -> bool:
 class Encoder:
     """Whole texts to little-endian id bytes with a file of the tokenizers library.
 
-    When words stand alone, each distinct word is encoded once and its ids are kept, for a bounded number
-    of words; else every text is encoded as it is. Both give the library's ids for the whole text.
+    When words stand alone, a distinct word is encoded once and its ids are kept, for a bounded number of
+    words in two generations: a full one becomes the old one, and words that come again move on from there, so frequent ones
+    stay. Else every text is encoded as it is. Both give the library's ids for the whole text.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
@@ -74,6 +87,7 @@ class Encoder:
         self.dtype = id_type(self.tokenizer)
         self.cached_words = cached_words
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
         suffix = getattr(self.model, "end_of_word_suffix", None)
@@ -87,16 +101,20 @@ class Encoder:
         """Keep the ids of some words, each by the cheapest exact way.
 
         Letters and the marks behind them are pieces of their own. Lower-case ASCII letters pass the
-        normaliser as they are, so they go to the library's model directly; other letters in one call with
-        spaces between, told apart by the ids that end a word; all the rest with a special token between.
+        normaliser as they are, and so do lower-case Latin letters in one character, so both go to the library's
+        model directly; other letters in one call with spaces between, told apart by the ids that end a
+        word; all the rest with a special token between.
         """
         spaced, rest = [], []
         for word in words:
             core = word.rstrip(MARKS)
             if core.isalpha():
                 self.cache[word] = self._letters(core.lower()) + self._tail(word[len(core) :])
-            elif core and core.decode().isalpha():
-                spaced.append((word, core))
+            elif core and (text := core.decode()).isalpha():
+                if text.islower() and max(text) < LATIN_END:
+                    self.cache[word] = self._tokenized(text.encode().decode("latin-1").translate(BYTE_LETTERS)) + self._tail(word[len(core) :])
+                else:
+                    spaced.append((word, core))
             else:
                 rest.append(word)
         for start in range(0, len(spaced), WORDS_PER_CALL):
@@ -112,9 +130,10 @@ class Encoder:
 
     def _letters(self, core: bytes) -> bytes:
         known = self.cache.get(core)
-        if known is None:
-            known = np.array([t.id for t in self.model.tokenize(core.decode())], self.dtype).tobytes()
-        return known
+        return self._tokenized(core.decode()) if known is None else known
+
+    def _tokenized(self, letters: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
 
     def _tail(self, tail: bytes) -> bytes:
         if tail and tail not in self.tails:
@@ -154,13 +173,22 @@ class Encoder:
         """The ids of a sequence of words that stand alone; else of the words with single spaces."""
         if not self.by_words:
             return self._plain(b" ".join(block).decode()).tobytes()
-        missing = [w for w in set(block) if w not in self.cache]
-        if len(self.cache) + len(missing) > self.cached_words:
-            self.cache.clear()
-            missing = list(set(block))
-        if missing:
-            self._learn(missing)
-        return b"".join(map(self.cache.__getitem__, block))
+        parts = list(map(self.cache.get, block))
+        if None in parts:
+            missing = self.ids_of([w for w, p in zip(block, parts) if p is None])
+            parts = [missing[w] if p is None else p for w, p in zip(block, parts)]
+        return b"".join(parts)
+
+    def ids_of(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of some words that stand alone, kept for the next time."""
+        if not self.by_words:
+            return {w: self._plain(w.decode()).tobytes() for w in set(words)}
+        if len(self.cache) > self.cached_words:
+            self.old, self.cache = self.cache, {}
+        cache, old, wanted = self.cache, self.old, set(words)
+        self._learn([w for w in wanted if w not in old and w not in cache])
+        cache.update([(w, old[w]) for w in wanted if w in old])
+        return {w: cache[w] for w in wanted}
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text."""
@@ -171,14 +199,14 @@ class Encoder:
         return b"".join(map(self.encode_block, word_blocks(text, lower=lower)))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cached_words: int = CACHED_WORDS) -> Encoder:
+    """One encoder per worker process, file and size."""
+    if (path, cached_words) not in _ENCODERS:
+        _ENCODERS[path, cached_words] = Encoder(path, cached_words)
+    return _ENCODERS[path, cached_words]
 
 
 def id_type(tokenizer: Tokenizer, end_id: int = END_ID) -> str:
