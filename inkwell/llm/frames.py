@@ -22,8 +22,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Plan steps that make several rows of one or mix sources; a file position no longer names a row above them.
+MIXING = ("Join", "Generate", "Union", "Expand", "Sample", "Aggregate")
+
+
 def scan_of(df: DataFrame) -> DataFrame:
     """The frame itself when it is a file scan, which knows its rows by file and position; else staged."""
+    if any(step in line for line in df._jdf.queryExecution().analyzed().toString().split("\n") for step in MIXING):
+        return stage(df, "scan")
     try:
         df.select("_metadata.row_index")
     except AnalysisException:

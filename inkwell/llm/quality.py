@@ -185,10 +185,11 @@ def train(
     """Fit on the labelled documents outside the held-out fold, about `sample_rows` of them at most.
 
     Only the features of the sample come to the driver. Labels other than 0 and 1, null ids and labels
-    without a document are passed over; repeated rows count as often as they occur.
+    without a document are passed over, a label given twice counts once. Should one id name very many documents, at most
+    twice `sample_rows` of them are fitted.
     """
     usable = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label"))
-    usable = usable.filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out("_id"))
+    usable = usable.filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out("_id")).distinct()
     share = min(1.0, sample_rows / max(1, usable.count()))
     drawn = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(drawn), "_id").select("text", "_label")
@@ -199,7 +200,7 @@ def train(
             found = pa.array(list(matrix), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("_label").cast(pa.int32()), found], names=["label", "features"])
 
-    found = sorted((r["label"], r["features"]) for r in rows.mapInArrow(run, "label int, features array<double>").collect())
+    found = sorted((r["label"], r["features"]) for r in rows.mapInArrow(run, "label int, features array<double>").limit(2 * sample_rows).collect())
     matrix = np.array([f for _, f in found], np.float64).reshape(-1, len(FEATURES))
     return fit(matrix, np.array([y for y, _ in found], np.float64))
 

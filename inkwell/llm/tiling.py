@@ -153,7 +153,7 @@ class Items:
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int = ITEM_BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
     """The test items in blocks of about `block_bytes`, one block at a time on the driver."""
-    rows = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").alias("text"))
+    rows = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = 1 + 2 * (total // block_bytes)
     for block in range(blocks):
