@@ -61,4 +61,4 @@ def test_empty_table(spark, nothing):
 
 def test_all_columns_stay(spark, awkward):
     found = drop_exact_copies(awkward, index(spark))
-    assert found.dtypes == awkward.dtypes and found.count() == 6
+    assert found.dtypes == awkward.dtypes and found.count() == 7
