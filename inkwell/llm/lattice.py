@@ -97,19 +97,15 @@ class Pieces:
         return [int(self.bytes_id[b]) for b in chr(SPACE if code < 0 else code).encode()]
 
 
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        size = 1 << (n - 1).bit_length()
-        _POWERS = np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE, np.uint64)]).cumprod(dtype=np.uint64)
-        _INVERSES = np.concatenate([[np.uint64(1)], np.full(size - 1, _INVERSE, np.uint64)]).cumprod(dtype=np.uint64)
-    return _POWERS[:n], _INVERSES[:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1, modulo 2^64."""
+    found = np.full(n, base, np.uint64)
+    found[:1] = 1
+    return np.cumprod(found, dtype=np.uint64, out=found)
 
 
 @dataclass
@@ -137,9 +133,9 @@ class Lattice:
 def _distinct(codes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first unit of each kind, kind of each unit) of the units between cuts, by hash, then verified."""
     lengths = np.diff(np.concatenate([cuts, [len(codes)]]))
-    up, down = _powers(len(codes) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + 2).astype(np.uint64) * up[: len(codes)], dtype=np.uint64)])
-    hashes = (sums[cuts + lengths] - sums[cuts]) * down[cuts] * np.uint64(129) + lengths.astype(np.uint64)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes + 2).astype(np.uint64) * _powers(_BASE, len(codes)), dtype=np.uint64, out=sums[1:])
+    hashes = (sums[cuts + lengths] - sums[cuts]) * _powers(_INVERSE, len(codes))[cuts] * np.uint64(129) + lengths.astype(np.uint64)
     order = np.argsort(hashes)
     new = np.concatenate([[True], np.diff(hashes[order]) != 0])
     sample = order[new]

@@ -13,7 +13,7 @@ from inkwell.llm.words import text_slices
 
 SAMPLES = 2
 SEED = 42
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _PIECES: dict[tuple[str, float], Pieces] = {}
 

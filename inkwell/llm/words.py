@@ -29,7 +29,7 @@ def word_blocks(text: str | None, lower: bool = True) -> Iterator[list[bytes]]:
         at = end
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of text, one row at least."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
