@@ -279,26 +279,19 @@ def lm_scores(
         names = ["row", "id", "held_out", "n_tokens", "n_known", "log_sum", "score", "word", "n"]
         for batch in text_slices(batches, "text", 1 << 20):
             rows, base, sequences, rare = batch.column("row").to_pylist(), [], [], []
-            for row, text in zip(rows, batch.column("text").to_pylist()):
-                n, found, logs, others = 1, int(texts > 0), end_log, Counter()
-                parts = []
-                for block in word_blocks(text):
-                    places = list(map(place_of, block, itertools.repeat(-1)))
-                    known = np.array(places, np.int64)
-                    pieces = list(map(ids_of.__getitem__, places))  # the last place is empty
-                    left = np.flatnonzero(known < 0).tolist()
-                    if left:
-                        strange = [block[k] for k in left]
-                        others.update(strange)
-                        new = encode.ids_of(strange)
-                        for k, word in zip(left, strange):
-                            pieces[k] = new[word]
-                    known = known[known >= 0]
-                    n, found, logs = n + len(block), found + len(known), logs + float(logs_of[known].sum())
-                    parts += pieces
-                rare += [(row, w, c) for w, c in others.items()]
-                base.append((n, found, logs))
-                sequences.append(np.concatenate([np.frombuffer(b"".join(parts), encode.dtype).astype(np.int64), end]))
+            words = [[w for block in word_blocks(text) for w in block] for text in batch.column("text").to_pylist()]
+            places = [list(map(place_of, own, itertools.repeat(-1))) for own in words]
+            strange = [[w for w, k in zip(own, found) if k < 0] if -1 in found else [] for own, found in zip(words, places)]
+            new = encode.ids_of([w for others in strange for w in others])
+            for row, own, found, others in zip(rows, words, places, strange):
+                pieces = list(map(ids_of.__getitem__, found))  # the last place is empty
+                known = np.array(found, np.int64)
+                for k, word in zip(np.flatnonzero(known < 0).tolist(), others):
+                    pieces[k] = new[word]
+                known = known[known >= 0]
+                rare += [(row, w, c) for w, c in Counter(others).items()]
+                base.append((len(own) + 1, len(known) + int(texts > 0), end_log + float(logs_of[known].sum())))
+                sequences.append(np.concatenate([np.frombuffer(b"".join(pieces), encode.dtype).astype(np.int64), end]))
             scores = scorer.log10(sequences)
             columns = list(zip(*base))
             yield pa.RecordBatch.from_arrays(

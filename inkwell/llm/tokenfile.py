@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +36,10 @@ SAMPLE_CHARS = 16_384
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 BLOCK_BYTES = 256 * 1024
-CACHED_WORDS = 200_000
+SLICE_BYTES = 2 << 20
+CACHED_WORDS = 400_000
 WORDS_PER_CALL = 2_000
-MARKS = b".,;:!?"
+MARKS = string.punctuation.encode()
 #: Lower-case letters before this one (Latin-1) are single characters that normalising leaves as they are.
 LATIN_END = "\u0100"
 
@@ -85,6 +89,8 @@ class Encoder:
         self.special = [t["content"].encode() for t in definition.get("added_tokens", [])]
         self.by_words &= all(len(s.split()) == 1 and s.strip() == s for s in self.special) and bool(self.special)
         self.dtype = id_type(self.tokenizer)
+        self.typecode = "H" if self.dtype == "<u2" else "I"
+        self.by_words &= sys.byteorder == "little"
         self.cached_words = cached_words
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -133,7 +139,7 @@ class Encoder:
         return self._tokenized(core.decode()) if known is None else known
 
     def _tokenized(self, letters: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        return array(self.typecode, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _tail(self, tail: bytes) -> bytes:
         if tail and tail not in self.tails:
@@ -192,11 +198,18 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text."""
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts. All words that are new to any of them are encoded together."""
         if not self.by_words:
-            return self._plain(text or "").tobytes()
+            return [self._plain(text or "").tobytes() for text in texts]
         # the normaliser lowers case anyway, but a special token is found before that
-        lower = not any(s[:1].decode() in (text or "") for s in self.special)
-        return b"".join(map(self.encode_block, word_blocks(text, lower=lower)))
+        lowers = [not any(s[:1].decode() in (text or "") for s in self.special) for text in texts]
+        words = [[w for block in word_blocks(text, lower=lower) for w in block] for text, lower in zip(texts, lowers)]
+        parts = [list(map(self.cache.get, own)) for own in words]
+        missing = self.ids_of([w for own, found in zip(words, parts) if None in found for w, p in zip(own, found) if p is None])
+        return [b"".join([missing[w] if p is None else p for w, p in zip(own, found)] if None in found else found) for own, found in zip(words, parts)]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -230,8 +243,8 @@ def train_dictionary(rows: DataFrame, tokenizer_path: str, end_id: int = END_ID,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
         end = np.array([end_id], own.dtype).tobytes()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([own.encode(t) + end for t in batch.column("text").to_pylist()], pa.binary())], names=["ids"])
+        for batch in text_slices(batches, "text", SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array([ids + end for ids in own.encode_many(batch.column("text").to_pylist())], pa.binary())], names=["ids"])
 
     # a hot null or repeated id is drawn whole or not at all, so the number is bounded once more
     samples = sorted(bytes(r["ids"]) for r in drawn.select("text").mapInArrow(run, "ids binary").limit(2 * sample_docs).collect())
@@ -246,10 +259,10 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int,
     end = np.array([end_id], own.dtype).tobytes()
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary) if dictionary else None)
     width = np.dtype(own.dtype).itemsize
-    for batch in text_slices(batches, "text"):
+    for batch in text_slices(batches, "text", SLICE_BYTES):
         counts, frames = [], []
-        for text in batch.column("text").to_pylist():
-            ids = own.encode(text) + end
+        for ids in own.encode_many(batch.column("text").to_pylist()):
+            ids += end
             counts.append(len(ids) // width)
             frames.append(packer.compress(ids))
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n_tokens", "frame"])
