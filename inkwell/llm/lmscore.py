@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import random
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from inkwell.llm.attention import BEGIN, BLOCK, CLASSES, SIZE, Scorer, Vocabulary, fresh, train
 from inkwell.llm.tokenfile import END_ID, encoder
 from inkwell.llm.words import text_slices, word_blocks
-from inkwell.operators.skew import HOT_ROWS, join_unique, planned_bytes
+from inkwell.operators.skew import HOT_ROWS, join_unique
 from inkwell.session import stage
 
 WINDOW = 2 * BLOCK + 1
@@ -24,6 +23,7 @@ FIRST_WINDOWS = 8_192
 FIRST_EPOCHS = 4
 ROUNDS = 1
 WINDOWS_PER_SHARD = 8_192
+SHARDS_PER_TASK = 4
 #: The most frequent words, at most so many, are looked up inside tasks; all others are joined.
 FREQUENT_WORDS = 150_000
 HELD_WORDS = 200_000
@@ -37,40 +37,25 @@ def is_held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % folds == fold, F.lit(False))
 
 
-def words_per_window(docs: DataFrame) -> int:
-    """One training window for each so many words: their number grows with the square root of the source's bytes.
+def _windows(ids: np.ndarray, end_id: int) -> np.ndarray:
+    """All windows over the begin mark, the ids of a text and its end id: each id is a goal in exactly one.
 
-    So windows grow with the corpus, more slowly than it.
+    The first place of a window is the last one of the window before it.
     """
-    return max(WINDOW, math.isqrt(planned_bytes(docs)) // 30)
+    line = np.concatenate([[-2], ids, [end_id]]).astype(np.int32)
+    n = -(-(len(line) - 1) // (WINDOW - 1))
+    line = np.concatenate([line, np.full(n * (WINDOW - 1) + 1 - len(line), -1, np.int32)])
+    return np.lib.stride_tricks.sliding_window_view(line, WINDOW)[:: WINDOW - 1]
 
 
-def _windows(words: list[list[bytes]], n: int, tokenizer_path: str, end_id: int, seed: int, spacing: int) -> list[np.ndarray]:
-    """Id windows from seeded places of a text: one for each `spacing` words, the rest of them by its odds.
+def _packed(windows: np.ndarray) -> pa.Array:
+    """A binary value for each row."""
+    ends = np.arange(len(windows) + 1, dtype=np.int32) * np.int32(4 * WINDOW)
+    return pa.Array.from_buffers(pa.binary(), len(windows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(windows))])
 
-    A window holds up to WINDOW - 1 ids after a place for the begin mark, which stands where a text starts; a window
-    that reaches the end of the text ends with the end id.
-    """
-    draw = random.Random(seed)
-    encode, found = encoder(tokenizer_path, RARE_WORDS), []
-    times = int((n + 1) / spacing + draw.random())
-    flat = [w for block in words for w in block] if times and len(words) != 1 else words[0]
-    for _ in range(times):
-        at = draw.randrange(max(1, n))
-        part = flat[at : at + WINDOW]
-        ids = np.frombuffer(encode.encode_block(part), encode.dtype).astype(np.int32)
-        if at + WINDOW >= n:
-            ids = np.append(ids, np.int32(end_id))
-        if at == 0:
-            ids = np.insert(ids, 0, -2)
-        window = np.full(WINDOW, -1, np.int32)
-        window[: min(WINDOW, len(ids))] = ids[:WINDOW]
-        found.append(window)
-    return found
-
-
-def gather(rows: DataFrame, tokenizer_path: str, spacing: int, end_id: int = END_ID) -> DataFrame:
-    """Word counts per task and training windows of all texts: (word, n, window), staged.
+
+def gather(rows: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """Word counts per task and the training windows that cover all texts: (word, n, window), staged.
 
     Counts are summed inside a task as far as HELD_WORDS words allow, then sent on, so memory is bounded.
     The null word stands for the end of a text.
@@ -86,17 +71,18 @@ def gather(rows: DataFrame, tokenizer_path: str, spacing: int, end_id: int = END
             counts.clear()
             return found
 
+        encode = encoder(tokenizer_path, RARE_WORDS)
         for batch in text_slices(batches, "text", 1 << 20):
-            windows = []
-            for text, seed in zip(batch.column("text").to_pylist(), batch.column("seed").to_pylist()):
-                blocks, n = [], 0
-                for block in word_blocks(text):
-                    counts.update(block)
-                    n += len(block)
-                    blocks.append(block)
-                texts += 1
-                windows += [w.tobytes() for w in _windows(blocks or [[]], n, tokenizer_path, end_id, seed, spacing)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.binary()), pa.nulls(len(windows), pa.int64()), pa.array(windows, pa.binary())], schema=schema)
+            words = [[w for block in word_blocks(text) for w in block] for text in batch.column("text").to_pylist()]
+            for own in words:
+                counts.update(own)
+            texts += len(words)
+            ids_of = encode.ids_of([w for own in words for w in own])
+            lines = [np.frombuffer(b"".join(map(ids_of.__getitem__, own)), encode.dtype) for own in words]
+            windows = np.concatenate([_windows(ids, end_id) for ids in lines])
+            for start in range(0, len(windows), WINDOWS_PER_SHARD):
+                part = _packed(windows[start : start + WINDOWS_PER_SHARD])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.int64()), part], schema=schema)
             if len(counts) > HELD_WORDS:
                 yield flushed()
         yield flushed()
@@ -199,9 +185,9 @@ def _window_rows(windows: list[bytes]) -> np.ndarray:
 def fit(windows: DataFrame, vocabulary: Vocabulary, first_windows: int = FIRST_WINDOWS, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after a first fit on a bounded seeded sample and `rounds` over the windows of all texts.
 
-    In each round every shard of about WINDOWS_PER_SHARD windows trains on from the shared parameters, and
-    the parameters of all shards are averaged in Spark, weighted by their windows. The shards grow with the corpus; the
-    driver gets one parameter vector.
+    In each round every shard of at most WINDOWS_PER_SHARD windows trains on from the shared parameters, and
+    the parameters of all shards are averaged in Spark, weighted by their windows. Tasks and shards grow with the corpus; a
+    task holds one shard and sends one parameter vector, and the driver gets one.
     """
     flat, total = fresh(), windows.count()
     if not total:
@@ -210,18 +196,27 @@ def fit(windows: DataFrame, vocabulary: Vocabulary, first_windows: int = FIRST_W
     drawn = windows.filter(F.pmod(F.xxhash64("window"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * first_windows)
     first = sorted(bytes(r["window"]) for r in drawn.collect())
     flat = train(flat, vocabulary, _window_rows(first), FIRST_EPOCHS, seed=1)
-    shards = -(-total // WINDOWS_PER_SHARD)
-    dealt = windows.select("window", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard"))
+    dealt = windows.repartition(-(-total // (SHARDS_PER_TASK * WINDOWS_PER_SHARD)))
     for turn in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own = [w for batch in batches for w in batch.column("window").to_pylist()]
-            for start in range(0, len(own), 2 * WINDOWS_PER_SHARD):
-                part = sorted(own[start : start + 2 * WINDOWS_PER_SHARD])
-                found = train(flat, vocabulary, _window_rows(part), 1, seed=100 + turn, rate=0.002).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE), pa.int32()), pa.array(found * len(part)), pa.array(np.full(SIZE, float(len(part))))], names=["place", "value", "weight"])
-
-        trained = dealt.repartition(shards, "shard").select("window").mapInArrow(run, "place int, value double, weight double")
+            summed, weight, held = np.zeros(SIZE), 0, []
+
+            def trained(part: list[bytes]) -> np.ndarray:
+                found = train(flat, vocabulary, _window_rows(sorted(part)), 1, seed=100 + turn, rate=0.002)
+                return found.astype(np.float64) * len(part)
+
+            for batch in batches:
+                held += batch.column("window").to_pylist()
+                while len(held) >= WINDOWS_PER_SHARD:
+                    part, held = held[:WINDOWS_PER_SHARD], held[WINDOWS_PER_SHARD:]
+                    summed, weight = summed + trained(part), weight + len(part)
+            if held:
+                summed, weight = summed + trained(held), weight + len(held)
+            if weight:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE), pa.int32()), pa.array(summed), pa.array(np.full(SIZE, float(weight)))], names=["place", "value", "weight"])
+
+        trained = dealt.mapInArrow(run, "place int, value double, weight double")
         mean = trained.groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
         flat = np.zeros(SIZE, np.float32)
         flat[mean["place"].to_numpy()] = mean["value"].to_numpy()
@@ -254,8 +249,7 @@ def lm_scores(
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     read = docs.select(F.col(f"`{id_col}`").alias("id"), is_held_out(id_col).alias("held_out"), text.alias("text"))
-    seeded = read.filter(~F.col("held_out")).select("text", F.abs(F.hash("id")).cast("long").alias("seed"))
-    corpus = gather(seeded, tokenizer_path, words_per_window(docs), end_id)
+    corpus = gather(read.filter(~F.col("held_out")).select("text"), tokenizer_path, end_id)
     texts = corpus.filter("word IS NULL AND n IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counts = stage(corpus.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

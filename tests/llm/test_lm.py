@@ -8,7 +8,8 @@ import pytest
 
 from inkwell.llm import attention
 from inkwell.llm.attention import BEGIN, BLOCK, CLASSES, DEPTH, GROUPS, LOG10E, MEMBERS, SIZE, Scorer, Vocabulary, fresh, gradient, train, unpack
-from inkwell.llm.lmscore import frequency_cut, lm_scores
+from inkwell.llm.lmscore import END_ID, WINDOW, fit, frequency_cut, gather, lm_scores
+from inkwell.llm.tokenfile import encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -104,6 +105,34 @@ def test_model_beats_the_even_guess_on_held_out_texts(spark):
     assert len(held) > 20 and sum(r.score for r in held) > -0.5 * sum(r.n_tokens for r in held) * math.log10(49_408)
 
 
+def test_windows_cover_every_id_of_every_text_once(spark, awkward):
+    docs = awkward.select("text").union(spark.createDataFrame([(t,) for _, t in documents(50)], "text string"))
+    found = gather(docs, PATH).filter("window IS NOT NULL").collect()
+    rows = np.array([np.frombuffer(r.window, np.int32) for r in found])
+    goals, expected = rows[:, 1:], Counter()
+    for r in docs.collect():
+        words = (r.text or "").encode().lower().split()
+        ids_of = encoder(PATH).ids_of(words)
+        expected.update([i for w in words for i in np.frombuffer(ids_of[w], encoder(PATH).dtype).tolist()] + [END_ID])
+    assert rows.shape[1] == WINDOW and Counter(goals[goals >= 0].tolist()) == expected
+    assert (rows[:, 0] == -2).sum() == docs.count() and (goals[:, 0] >= 0).all()
+
+
+def test_fit_trains_on_every_window(spark, vocabulary, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(flat, vocabulary, windows, epochs, seed, rate=0.01):
+        if seed >= 100:
+            seen.add(len(windows))
+        return flat
+
+    monkeypatch.setattr("inkwell.llm.lmscore.train", counted)
+    monkeypatch.setattr("inkwell.llm.lmscore.WINDOWS_PER_SHARD", 8)
+    windows = np.random.default_rng(5).integers(0, 3000, (203, WINDOW)).astype(np.int32)
+    fit(spark.createDataFrame([(bytearray(w.tobytes()),) for w in windows], "window binary"), vocabulary, first_windows=10)
+    assert seen.value == 203
+
+
 def test_frequency_cut_keeps_its_bound(spark):
     counts = spark.createDataFrame([(str(k), 1 + k // 3) for k in range(300)], "word string, n long")
     for most in (0, 1, 10, 100, 300):
