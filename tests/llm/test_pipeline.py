@@ -58,6 +58,33 @@ def test_near_stage_leaves_no_near_copy_and_drops_nothing_else(stages):
         assert max(likeness(gone, other) for other in before if other != gone) >= 0.6
 
 
+def smallest_of_components(texts):
+    """The smallest id of each group connected by a Jaccard similarity of 0.8 or more, by brute force."""
+    sets, root = {i: shingles(t or "") for i, t in texts}, {i: i for i, _ in texts}
+    for a in sets:
+        for b in sets:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def test_near_stage_equals_brute_force(stages):
+    kept = sorted(r.doc_id for r in stages["near_copies"].collect())
+    assert kept == smallest_of_components([(r.doc_id, r.text) for r in stages["exact_copies"].collect()])
+
+
+def test_near_stage_equals_brute_force_on_planted_pairs(spark, stages):
+    texts = [(r.doc_id, r.text) for r in stages["exact_copies"].limit(50).collect()]
+    for total, common in [(100, 70), (100, 75), (100, 79), (100, 80), (100, 81), (100, 85), (8, 7), (6, 5), (5, 4), (4, 3), (9, 7)] * 5:
+        start, left = [f"p{len(texts)}x{k}" for k in range(common + 4)], total - common
+        ends = [f"q{len(texts)}x{k}" for k in range(left)]
+        for own in (ends[: left // 2], ends[left // 2 :]):
+            texts.append((10**6 + len(texts), " ".join(start + own)))
+    found = corpus_pipeline.near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), SF_DIR)
+    assert sorted(r.doc_id for r in found.collect()) == smallest_of_components(texts)
+
+
 def test_decontamination_stage(spark, stages):
     items = [re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     kept = {r.doc_id for r in stages["decontamination"].collect()}
