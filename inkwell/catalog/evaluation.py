@@ -255,6 +255,7 @@ def prompt_search_run(spark, sf_dir):
     return search.prompt_search(spark, asked, keys, lambda prompt: next(replies), lambda rows: _answered(rows, keys), rounds=3)
 
 
+#: Rounds of the SQL alone; the query runs all attempts of the library.
 RETRY_LIMIT = 6
 
 
@@ -273,7 +274,7 @@ LEFT JOIN looped l ON l.doc_id = a.doc_id AND l.variant = a.variant AND l.attemp
 )
 def retry_loop_run(spark, sf_dir):
     """The live loop over all documents and variants with a recorded model, judge and grader."""
-    return at.retry_loop(st.attempt_pairs(spark, sf_dir), st.generated, st.judged_relevant, st.graded, limit=RETRY_LIMIT)
+    return at.retry_loop(st.attempt_pairs(spark, sf_dir), st.generated, st.judged_relevant, st.graded)
 
 
 # ---- attempts and comparisons -------------------------------------------------------------------
