@@ -16,7 +16,7 @@ from inkwell.llm.components import components
 from inkwell.llm.frames import FILE, ROW, keyed, scan_of, without
 from inkwell.llm.hamming import SMALL_RUN, Forest, close_pairs, run_pairs
 from inkwell.llm.words import text_slices, word_blocks
-from inkwell.operators.skew import HOT_ROWS, join_unique
+from inkwell.operators.skew import HOT_ROWS, broadcast_if_small, join_unique
 from inkwell.session import stage
 
 #: The seed of the shingle hash.
@@ -299,23 +299,28 @@ def rarest_shingles(nodes: DataFrame, similarity: float, hot_rows: int = HOT_ROW
 def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least this Jaccard similarity, staged."""
     pairs = stage(pairs.select("a", "b").distinct(), "near-proposed")
-    sets = nodes.select("node", "hashes")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stage(nodes.join(broadcast_if_small(needed), "node", "left_semi"), "near-compared")
     first, second = (sets.withColumnsRenamed({"node": c, "hashes": f"of_{c}"}) for c in ("a", "b"))
     both = pairs.join(first, "a").join(second, "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return stage(both.filter(common / (F.size("of_a") + F.size("of_b") - common) >= similarity).select("a", "b"), "near-links")
 
 
-def similar_sets(nodes: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+def similar_sets(nodes: DataFrame, equal: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component) of the sets linked by a Jaccard similarity of at least `similarity`, every link verified.
 
+    `equal` links each repeated set (b) to its first node (a).
     The sets that share a rare shingle first meet its smallest node only, which joins large groups with
     one pair for each member and shingle; then all pairs that are still in different components meet.
     """
-    prefix = rarest_shingles(nodes, similarity, hot_rows)
+    again = equal.select(F.col("b").alias("node"), F.lit(True).alias("again"))
+    prefix = join_unique(rarest_shingles(nodes, similarity, hot_rows), again, "node", "left", hot_rows=hot_rows, stable_left=True)
+    prefix = stage(prefix.filter("again IS NULL").drop("again"), "near-met-prefix")
     lows = stage(prefix.groupBy("shingle").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-lows")
     met = stage(join_unique(prefix, lows, "shingle", hot_rows=hot_rows, stable_left=True), "near-met")
     links = alike(met.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), nodes, similarity)
+    links = links.union(equal)
     labels = stage(components(links, hot_rows), "near-labels")
     placed = join_unique(met.drop("low"), labels, "node", "left", hot_rows=hot_rows, stable_left=True)
     placed = stage(placed.select("shingle", "node", "size", F.coalesce("component", "node").alias("component")), "near-placed")
@@ -339,18 +344,18 @@ def drop_near_copies(
     """The documents, all columns, with one of each group of near copies: the smallest id, nulls last.
 
     Similarity is the Jaccard similarity of the sets of `words`-word shingles, held as 64-bit hashes. All pairs at
-    `similarity` or more are linked and no others; a group is what links connect. Texts with equal sets are one
-    node first. Rows without words are one group, as their sets are equal.
+    `similarity` or more are linked and no others; a group is what links connect. Of equal sets only
+    the first meets others. Rows without words are one group, as their sets are equal.
     """
     scan = scan_of(docs)
     whole = keyed(scan, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sets = stage(shingle_sets(whole, words), "near-sets")
-    rows = sets.drop("hashes")
-    nodes = sets.groupBy("digest").agg(F.first("hashes").alias("hashes")).withColumn("node", F.monotonically_increasing_id())
-    nodes = stage(nodes, "near-nodes")
-    labels = similar_sets(nodes, similarity, hot_rows)
-    named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    found = stage(join_unique(rows, stage(named, "near-named"), "digest", hot_rows=hot_rows, stable_left=True).select("id", FILE, ROW, "component"), "near-found")
+    sets = stage(shingle_sets(whole, words).withColumn("node", F.monotonically_increasing_id()), "near-sets")
+    lows = sets.groupBy("digest").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    met = join_unique(sets.select("digest", "node"), stage(lows, "near-equal-lows"), "digest", hot_rows=hot_rows, stable_left=True)
+    equal = stage(met.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), "near-equal")
+    labels = similar_sets(sets.select("node", "hashes"), equal, similarity, hot_rows)
+    named = join_unique(sets.drop("hashes"), labels, "node", "left", hot_rows=hot_rows, stable_left=True)
+    found = stage(named.select("id", FILE, ROW, F.coalesce("component", "node").alias("component")), "near-found")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", FILE, ROW)
     groups = found.groupBy("component").agg(F.min(place).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = join_unique(found, stage(groups.select("component", "stays"), "near-stays"), "component", hot_rows=hot_rows, stable_left=True)
