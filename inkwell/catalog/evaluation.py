@@ -251,19 +251,15 @@ def prompt_search_run(spark, sf_dir):
     asked, _ = runs.qa_sample(st.qa(spark, sf_dir), st.keys(spark, sf_dir), fixed.SEARCH_SAMPLE, fixed.SEARCH_SEED)
     asked = stage(asked, "search-sample")
     keys = st.keys(spark, sf_dir).join(F.broadcast(asked.select("Id")), "Id", "left_semi")  # as many rows as the sample
-    replies = iter(["\n".join(f"[{c}]" for r, c in st.CANDIDATES if r == number) for number in (1, 2, 3)])
-    return search.prompt_search(spark, asked, keys, lambda prompt: next(replies), lambda rows: _answered(rows, keys), rounds=3)
-
-
-#: Rounds of the SQL alone; the query runs all attempts of the library.
-RETRY_LIMIT = 6
+    replies = iter(["\n".join(f"[{c}]" for r, c in st.CANDIDATES if r == number) for number in range(1, fixed.SEARCH_ROUNDS + 1)])
+    return search.prompt_search(spark, asked, keys, lambda prompt: next(replies), lambda rows: _answered(rows, keys))
 
 
 @query(
     "retry_loop_run",
     f"""WITH {st.ATTEMPTS_CTE},
 asked AS (SELECT DISTINCT doc_id, variant, quality, toxic FROM pairs),
-tries AS (SELECT *, CAST(unnest(generate_series(1, {RETRY_LIMIT})) AS INTEGER) AS attempt FROM asked),
+tries AS (SELECT *, CAST(unnest(generate_series(1, {at.MAX_ATTEMPTS})) AS INTEGER) AS attempt FROM asked),
 looped AS (SELECT *, substr(md5(variant || '/' || attempt || ':' || doc_id), 1, 1) AS s FROM tries),
 firsts AS (SELECT doc_id, variant, min(attempt) AS attempt FROM looped WHERE {st.verdict_sql(st.relevance_sql('s'))} = 'yes' GROUP BY ALL)
 SELECT a.doc_id AS question_id, a.variant, f.attempt,

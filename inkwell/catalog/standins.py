@@ -31,6 +31,12 @@ CANDIDATES = [
     (3, "Write the equation and solve it"),
     (3, "Check the result twice"),
     (3, "Start from the question"),
+    (4, "Draw a picture of the problem"),
+    (4, "Estimate the result before computing"),
+    (4, "Name every quantity"),
+    (5, "Work backwards from what is asked"),
+    (5, "Do one operation at a time"),
+    (5, "Restate the question in short words"),
 ]
 
 
