@@ -15,6 +15,7 @@ from inkwell.llm.quality import score, train
 from inkwell.llm.segment import sample_segmentations
 from inkwell.llm.sharding import shard_documents
 from inkwell.llm.simhash import simhash_groups
+from inkwell.llm.substrings import without_repeats
 from inkwell.llm.tiling import decontaminate
 from inkwell.llm.tokenfile import encoded_documents
 from inkwell.llm.urls import judge
@@ -96,6 +97,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op13_substring_dedup")
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of what is left of all documents."""
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
