@@ -15,10 +15,12 @@ from inkwell.llm.quality import score, train
 from inkwell.llm.segment import sample_segmentations
 from inkwell.llm.sharding import shard_documents
 from inkwell.llm.simhash import simhash_groups
+from inkwell.llm.spelling import spelling_forms
 from inkwell.llm.substrings import without_repeats
 from inkwell.llm.tiling import decontaminate
 from inkwell.llm.tokenfile import encoded_documents
 from inkwell.llm.urls import judge
+from inkwell.llm.whitening import whiten
 from inkwell.session import fresh_path
 
 OP8_SQL = r"""
@@ -97,6 +99,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_substring_dedup")
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests of what is left of all documents."""
