@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -38,8 +38,11 @@ class Block(NamedTuple):
         return np.arange(len(self.words)) - np.repeat(starts - self.base, self.size)
 
 
-def blocks(texts: list[str | None], window: int) -> Iterator[Block]:
-    """Texts in chunks that overlap by window - 1 words, many chunks in a block; each window lies in one chunk only as a whole with a fresh last word."""
+def blocks(texts: list[str | None], window: int, asked: list[np.ndarray] | None = None) -> Iterator[Block]:
+    """Texts in chunks that overlap by window - 1 words, many chunks in a block; each window lies in one chunk only as a whole with a fresh last word.
+
+    With `asked`, the (first, last) ranges of windows of each text, only the stretches of these windows, each a chunk.
+    """
     words: list[bytes] = []
     rows: list[tuple[int, int, int, int]] = []
     for number, text in enumerate(texts):
@@ -47,9 +50,18 @@ def blocks(texts: list[str | None], window: int) -> Iterator[Block]:
         for block in word_blocks(text, lower=False):
             for at in range(0, len(block), CHUNK_WORDS):
                 part = block[at : at + CHUNK_WORDS]
-                whole = carried + part
-                words += whole
-                rows.append((number, seen - len(carried), seen, len(whole)))
+                whole, base = carried + part, seen - len(carried)
+                if asked is None:
+                    words += whole
+                    rows.append((number, base, seen, len(whole)))
+                else:
+                    end = base + len(whole) - window
+                    low = np.searchsorted(asked[number][:, 1], base)
+                    high = np.searchsorted(asked[number][:, 0], end, "right")
+                    for first, last in asked[number][low:high].tolist():
+                        first, last = max(first, base), min(last, end)
+                        words += whole[first - base : last - base + window]
+                        rows.append((number, first, first, last - first + window))
                 seen += len(part)
                 carried = whole[len(whole) - window + 1 :] if len(whole) >= window else whole
                 if len(words) >= CHUNK_WORDS:
@@ -163,46 +175,25 @@ def _with_ranges(batch: pa.RecordBatch, found: list[np.ndarray], name: str) -> p
     return pa.RecordBatch.from_arrays([batch.column(c) for c in KEYS] + [lists], names=[*KEYS, name])
 
 
-def _open_marks(batch: pa.RecordBatch, column: str = "windows") -> list[np.ndarray]:
+def _open_ranges(batch: pa.RecordBatch, column: str = "windows") -> list[np.ndarray]:
     return [np.array(r or [], np.int64).reshape(-1, 2) for r in batch.column(column).to_pylist()]
 
 
-def _last(ranges: list[np.ndarray]) -> np.ndarray:
-    """Places of windows each text needs to know about."""
-    return np.array([int(r[:, 1].max()) + 1 if len(r) else 0 for r in ranges])
-
-
-def _holds_open(marks: list[np.ndarray], window: int) -> Callable[[np.ndarray, Symbols], np.ndarray]:
-    """A function of (text, symbols): the places of the symbols that hold an open window."""
-    sizes = np.array([len(m) + 1 for m in marks])
-    offsets = np.cumsum(sizes) - sizes
-    sums = np.concatenate([x for m in marks for x in (np.zeros(1, np.int64), np.cumsum(m))])
-
-    def holding(text: np.ndarray, found: Symbols) -> np.ndarray:
-        low, high = (offsets[text] + np.minimum(x, sizes[text] - 1) for x in (found.start, found.end - window + 1))
-        return np.flatnonzero(sums[high] > sums[low])
-
-    return holding
-
-
 def shared_symbols(rows: DataFrame, window: int) -> DataFrame:
-    """(file, row, firsts) of each distinct symbol of a window or more that holds open windows: where it stands first.
+    """(file, row, firsts) of each distinct symbol of a window or more in the stretches of open windows: where it stands first.
 
     `firsts` holds (start, end, whether it stands elsewhere too) in a row. Whoever is not among the firsts repeats one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            ranges = _open_marks(batch)
-            holding = _holds_open([marked(r, n) for r, n in zip(ranges, _last(ranges))], window)
-            for block in blocks(batch.column("text").to_pylist(), window):
+            for block in blocks(batch.column("text").to_pylist(), window, _open_ranges(batch)):
                 owner, columns = [], {c: [] for c in ("name", "more", "start", "end")}
                 for text, found in long_symbols(block, word_names(block.words, 2), window):
-                    good = holding(text, found)
-                    owner.append(text[good])
+                    owner.append(text)
                     values = (found.names[0].view(np.int64), found.names[1].view(np.int64), found.start, found.end)
                     for c, value in zip(columns, values):
-                        columns[c].append(value[good])
+                        columns[c].append(value)
                 if owner:
                     yield _rows(batch, columns, owner)
 
@@ -221,32 +212,23 @@ def named_windows(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            ranges = _open_marks(batch)
-            sizes = _last(ranges)
-            marks = [marked(r, n) for r, n in zip(ranges, sizes)]
+            ranges = _open_ranges(batch)
+            sizes = [int(r[-1, 1]) + 1 if len(r) else 0 for r in ranges]
             firsts = [np.array(f or [], np.int64).reshape(-1, 3) for f in batch.column("firsts").to_pylist()]
-            holding = _holds_open(marks, window)
             known = [{(s, e) for s, e, _ in f.tolist()} for f in firsts]
             doubled = [marked(np.stack([f[:, 0], f[:, 1] - window], axis=1)[f[:, 2] > 0], n) for f, n in zip(firsts, sizes)]
-            for block in blocks(batch.column("text").to_pylist(), window):
+            for block in blocks(batch.column("text").to_pylist(), window, ranges):
                 names = word_names(block.words, 2)
                 again: dict[int, list[tuple[int, int]]] = {}
                 for text, found in long_symbols(block, names, window):
-                    good = holding(text, found)
-                    for t, s, e in zip(text[good].tolist(), found.start[good].tolist(), found.end[good].tolist()):
+                    for t, s, e in zip(text.tolist(), found.start.tolist(), found.end.tolist()):
                         if (s, e) not in known[t]:
                             again.setdefault(t, []).append((s, e - window))
                 owner, columns = [], {c: [] for c in ("name", "more", "place", "weight")}
                 chunk_starts = np.cumsum(block.size) - block.size
-                for c in np.flatnonzero(block.size >= window):
-                    t, base, at = block.text[c], block.base[c], chunk_starts[c]
-                    n = min(block.size[c] - window + 1, sizes[t] - base)
-                    if n <= 0:
-                        continue
-                    asked = marks[t][base : base + n]
-                    if t in again:
-                        asked = asked & ~marked(np.array(again[t]) - base, n)
-                    places = np.flatnonzero(asked)
+                for t, base, at, size in zip(block.text.tolist(), block.base.tolist(), chunk_starts.tolist(), block.size.tolist()):
+                    n = size - window + 1
+                    places = np.flatnonzero(~marked(np.array(again[t]) - base, n)) if t in again else np.arange(n)
                     if not len(places):
                         continue
                     lanes = window_names([x[at : at + n + window - 1] for x in names], window)
@@ -276,7 +258,7 @@ def repeated_windows(scan: DataFrame, text: Column, window: int, hot_rows: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for ranges, single in zip(_open_marks(batch), batch.column("single").to_pylist()):
+            for ranges, single in zip(_open_ranges(batch), batch.column("single").to_pylist()):
                 marks = marked(ranges, int(ranges[:, 1].max()) + 1)
                 marks[np.array(single or [], np.int64)] = False
                 found.append(ranges_of(marks).ravel())
@@ -312,7 +294,7 @@ def without_repeats(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             n_words, n_removed, kept = [], [], []
-            for text, ranges in zip(batch.column("text").to_pylist(), _open_marks(batch)):
+            for text, ranges in zip(batch.column("text").to_pylist(), _open_ranges(batch)):
                 words = [w for block in word_blocks(text, lower=False) for w in block]
                 left = words
                 if len(ranges):
