@@ -11,6 +11,8 @@ from inkwell.session import stage
 #: The white space of the text contracts, `[\x20\x09-\x0D]`.
 WHITE = " \t\n\x0b\f\r"
 FILE, ROW = "_scan_file", "_scan_row"
+#: What a column goes by in a staged scan when its own name is that of Spark's file positions.
+OWN, POSITIONS = "_scan_own", "_metadata"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,13 @@ MIXING = ("Join", "Generate", "Union", "Expand", "Sample", "Aggregate")
 
 
 def scan_of(df: DataFrame) -> DataFrame:
-    """The frame itself when it is a file scan, which knows its rows by file and position; else staged."""
+    """The frame itself when it is a file scan, which knows its rows by file and position; else staged.
+
+    A column that hides the file positions by its name goes by another name inside; `without` gives it back.
+    """
+    hiding = {c: OWN + c for c in df.columns if c.lower() == POSITIONS}
+    if hiding:
+        return stage(df.withColumnsRenamed(hiding), "scan")
     if any(step in line for line in df._jdf.queryExecution().analyzed().toString().split("\n") for step in MIXING):
         return stage(df, "scan")
     try:
@@ -51,4 +59,5 @@ def without(scan: DataFrame, dropped: DataFrame) -> DataFrame:
     marks = dropped.select(FILE, ROW, F.lit(True).alias("_scan_dropped"))
     whole = keyed(scan, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_scan_columns"))
     kept = join_unique(whole, marks, [FILE, ROW], "left", stable_left=True).filter(F.col("_scan_dropped").isNull())
-    return kept.select(*[F.col("_scan_columns").getField(c).alias(c) for c in columns])
+    names = {c: c.removeprefix(OWN) if c.lower() == OWN + POSITIONS else c for c in columns}
+    return kept.select(*[F.col("_scan_columns").getField(c).alias(name) for c, name in names.items()])

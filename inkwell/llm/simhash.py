@@ -1,8 +1,7 @@
-"""SimHash fingerprints linked through a hierarchical index in Gray order, and near copies by their shingle sets."""
+"""SimHash fingerprints linked through a hierarchical index in Gray order."""
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -13,10 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkwell.llm.components import components
-from inkwell.llm.frames import FILE, ROW, keyed, scan_of, without
 from inkwell.llm.hamming import SMALL_RUN, Forest, close_pairs, run_pairs
 from inkwell.llm.words import text_slices, word_blocks
-from inkwell.operators.skew import HOT_ROWS, broadcast_if_small, join_unique
+from inkwell.operators.skew import HOT_ROWS, join_unique
 from inkwell.session import stage
 
 #: The seed of the shingle hash.
@@ -263,101 +261,3 @@ def simhash_groups(
     rows = stage(fingerprints(read, words, 1, distinct=False), "simhash-rows")
     found = grouped(rows, pigeonhole_masks(radius, blocks), 1, radius, hot_rows)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """`rows` with `text` replaced by its distinct shingle hashes in order and a digest of them."""
-    others = [c for c in rows.columns if c != "text"]
-    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes if c != "text"] + ["digest binary", "hashes array<long>"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            found = [np.unique(shingle_hashes(text, words)).view(np.int64) for text in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            digests = pa.array([hashlib.md5(own.tobytes()).digest() for own in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [digests, hashes], names=[*others, "digest", "hashes"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def rarest_shingles(nodes: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(shingle, node, size), staged: of each set the prefix in which any two sets of the similarity meet.
-
-    Shingles go by their number of sets, rarest first; the prefix of a set of n has n - ceil(similarity * n) + 1
-    of them. Those of a single set fill places of the prefix but meet nothing, so they are left out.
-    """
-    each = nodes.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("shingle"))
-    shared = stage(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"), "near-shared")
-    met = join_unique(each, shared, "shingle", hot_rows=hot_rows, stable_left=True)
-    own = met.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("own"))
-    places = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    taken = F.greatest(places - (F.col("size") - F.size("own")), F.lit(0)).cast("int")
-    return stage(own.select("node", "size", F.explode(F.slice("own", F.lit(1), taken)).alias("one")).select("one.shingle", "node", "size"), "near-prefix")
-
-
-def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity, staged."""
-    pairs = stage(pairs.select("a", "b").distinct(), "near-proposed")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stage(nodes.join(broadcast_if_small(needed), "node", "left_semi"), "near-compared")
-    first, second = (sets.withColumnsRenamed({"node": c, "hashes": f"of_{c}"}) for c in ("a", "b"))
-    both = pairs.join(first, "a").join(second, "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return stage(both.filter(common / (F.size("of_a") + F.size("of_b") - common) >= similarity).select("a", "b"), "near-links")
-
-
-def similar_sets(nodes: DataFrame, equal: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(node, component) of the sets linked by a Jaccard similarity of at least `similarity`, every link verified.
-
-    `equal` links each repeated set (b) to its first node (a).
-    The sets that share a rare shingle first meet its smallest node only, which joins large groups with
-    one pair for each member and shingle; then all pairs that are still in different components meet.
-    """
-    again = equal.select(F.col("b").alias("node"), F.lit(True).alias("again"))
-    prefix = join_unique(rarest_shingles(nodes, similarity, hot_rows), again, "node", "left", hot_rows=hot_rows, stable_left=True)
-    prefix = stage(prefix.filter("again IS NULL").drop("again"), "near-met-prefix")
-    lows = stage(prefix.groupBy("shingle").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-lows")
-    met = stage(join_unique(prefix, lows, "shingle", hot_rows=hot_rows, stable_left=True), "near-met")
-    links = alike(met.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), nodes, similarity)
-    links = links.union(equal)
-    labels = stage(components(links, hot_rows), "near-labels")
-    placed = join_unique(met.drop("low"), labels, "node", "left", hot_rows=hot_rows, stable_left=True)
-    placed = stage(placed.select("shingle", "node", "size", F.coalesce("component", "node").alias("component")), "near-placed")
-    apart = stage(placed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle"), "near-apart")
-    left = stage(join_unique(placed, apart, "shingle", hot_rows=hot_rows, stable_left=True), "near-left")
-    other = left.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "size", "component")])
-    sizes = F.least("size", "other_size") >= F.greatest("size", "other_size") * similarity - 1e-9
-    pairs = left.join(other, "shingle").filter((F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component")) & sizes)
-    more = alike(pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")), nodes, similarity)
-    return stage(components(links.union(more), hot_rows), "near-labels")
-
-
-def drop_near_copies(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    similarity: float = 0.8,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """The documents, all columns, with one of each group of near copies: the smallest id, nulls last.
-
-    Similarity is the Jaccard similarity of the sets of `words`-word shingles, held as 64-bit hashes. All pairs at
-    `similarity` or more are linked and no others; a group is what links connect. Of equal sets only
-    the first meets others. Rows without words are one group, as their sets are equal.
-    """
-    scan = scan_of(docs)
-    whole = keyed(scan, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sets = stage(shingle_sets(whole, words).withColumn("node", F.monotonically_increasing_id()), "near-sets")
-    lows = sets.groupBy("digest").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = join_unique(sets.select("digest", "node"), stage(lows, "near-equal-lows"), "digest", hot_rows=hot_rows, stable_left=True)
-    equal = stage(met.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")), "near-equal")
-    labels = similar_sets(sets.select("node", "hashes"), equal, similarity, hot_rows)
-    named = join_unique(sets.drop("hashes"), labels, "node", "left", hot_rows=hot_rows, stable_left=True)
-    found = stage(named.select("id", FILE, ROW, F.coalesce("component", "node").alias("component")), "near-found")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", FILE, ROW)
-    groups = found.groupBy("component").agg(F.min(place).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = join_unique(found, stage(groups.select("component", "stays"), "near-stays"), "component", hot_rows=hot_rows, stable_left=True)
-    dropped = met.filter((F.col(f"stays.{FILE}") != F.col(FILE)) | (F.col(f"stays.{ROW}") != F.col(ROW)))
-    return without(scan, stage(dropped.select(FILE, ROW), "near-dropped"))

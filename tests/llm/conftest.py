@@ -16,7 +16,7 @@ TEXTS = [
     (7, "é ▁ ñ \u2028 漢字 <|endoftext|> don't 123 🙂"),
     (8, "x"),
 ]
-EXTRA = ["id", "row", "n", "node", "grp", "shard", "slot", "f0", "item", "component", "digest", "word", "score", "_salt", "_scan_file", "lang", "held_out", "coverage"]
+EXTRA = ["id", "row", "n", "node", "grp", "shard", "slot", "f0", "item", "component", "digest", "word", "score", "_salt", "_scan_file", "lang", "held_out", "coverage", "_metadata", "size", "file"]
 
 
 @pytest.fixture(scope="session")

@@ -98,8 +98,8 @@ def test_segmentation_stage(stages):
     assert all(r.exact for r in found) and {r.doc_id for r in found} == {r.doc_id for r in stages["decontamination"].collect()}
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = contract.queries()
-    assert {int(n.split("_")[0][2:]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n.split("_")[0][2:]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14)) and "pipeline" in names
     assert set(SQL) <= set(QUERIES) <= set(names) and corpus_pipeline.ORACLE_SQL is None
     assert public_tokenizers.path("piece_bpe_32k.model")

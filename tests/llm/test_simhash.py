@@ -5,7 +5,7 @@ import xxhash
 from inkwell.llm.components import components
 from inkwell.llm.hamming import Forest, close_pairs, gray_order, gray_rank, levels, run_pairs
 from inkwell.llm import simhash
-from inkwell.llm.simhash import drop_near_copies, fingerprint, pigeonhole_masks, shingle_hashes, simhash_groups
+from inkwell.llm.simhash import fingerprint, pigeonhole_masks, shingle_hashes, simhash_groups
 
 
 def slow_fingerprint(text, words=4):
@@ -121,60 +121,3 @@ def test_buckets_over_many_chunks_lose_no_link(spark, monkeypatch):
     found = {r.id: r.component_id for r in simhash.grouped(rows, pigeonhole_masks(4), 1, 4).collect()}
     roots = slow_components(codes, 4)
     assert [found[i] for i in range(len(codes))] == roots
-
-
-def test_near_copies_go_and_others_stay(spark, awkward, nothing):
-    draw = np.random.default_rng(6)
-    base = [[f"v{draw.integers(0, 4000)}" for _ in range(200)] for _ in range(40)]
-    rows = [(100 + i, " ".join(w)) for i, w in enumerate(base)]
-    rows += [(200 + i, " ".join([*w[:90], "changed", *w[91:]])) for i, w in enumerate(base[:20])]
-    rows += [(300 + i, " ".join(w[:60] + [f"u{draw.integers(0, 4000)}" for _ in range(140)])) for i, w in enumerate(base)]
-    found = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in found.collect()) == [*range(100, 140), *range(300, 340)]
-    found = drop_near_copies(awkward)
-    assert found.dtypes == awkward.dtypes
-    kept = [r.doc_id for r in found.select("doc_id").collect()]
-    assert kept.count(5) == 1 and 6 in kept and kept.count(1) == 1 and 2 not in kept and None in kept
-    assert drop_near_copies(nothing).collect() == []
-
-
-def set_of(text, n=5):
-    words = (text or "").lower().split()
-    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
-
-
-def slow_smallest(texts):
-    """The smallest id of each connected group at a Jaccard similarity of 0.8."""
-    sets, root = [set_of(t) for _, t in texts], list(range(len(texts)))
-    for i in range(len(sets)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
-                root = [root[j] if r == root[i] else r for r in root]
-    low = {}
-    for (i, _), r in zip(texts, root):
-        low[r] = min(low.get(r, i), i)
-    return sorted(low.values())
-
-
-def test_near_copies_are_the_components_at_the_similarity(spark):
-    """Pairs on both sides of 0.8 and at it, short texts, a chain, and a line that very many texts share."""
-    draw, texts = np.random.default_rng(8), []
-    line = " ".join(f"line{k}" for k in range(30))
-    fresh = lambda n: [f"v{draw.integers(0, 10**9)}" for _ in range(n)]
-
-    def pair(total, common):  # two texts that share a start: `common` of `total` shingles in both
-        start, more = fresh(common + 4), total - common
-        texts.extend([(len(texts), " ".join(start + fresh(more // 2))), (len(texts) + 1, " ".join(start + fresh(more - more // 2)))])
-
-    for _ in range(12):
-        for percent in (65, 70, 75, 79, 80, 81, 82, 85):
-            pair(200, 2 * percent)
-        for total, common in ((8, 7), (9, 7), (10, 8), (7, 5), (6, 5), (5, 4), (5, 3), (4, 3), (2, 1)):
-            pair(total, common)
-    chain = fresh(120)
-    for k in range(0, 60, 6):  # neighbours are alike, the ends are not
-        texts.append((len(texts), " ".join(chain[k : k + 64])))
-    texts += [(len(texts) + k, " ".join(fresh(40)) + " " + line) for k in range(60)]
-    texts += [(len(texts) + k, t) for k, t in enumerate(["a b", "A  B", "a c", "", " "])]
-    found = drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string"), hot_rows=20)
-    assert sorted(r.doc_id for r in found.collect()) == slow_smallest(texts)
