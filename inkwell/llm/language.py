@@ -25,9 +25,10 @@ BELIEF = 10.0
 SITE_LABELS = 3
 
 HIDDEN = re.compile(r"(?is)<(script|style|head|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
-TAG = re.compile(r"(?s)<[^>]*>")
+#: A tag ends at the next opening mark too, so that a page of unclosed marks is read once.
+TAG = re.compile(r"(?s)<[^<>]*>")
 ENTITY = re.compile(r"&#?\w{1,32};")
-DECLARED = r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})"""
+DECLARED = r"""(?is)<html\b[^<>]*?\blang\s*+=\s*+(?:["']\s*+)?([a-z]{2,3})"""
 
 
 def visible(html: str | None) -> str:

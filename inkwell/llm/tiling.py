@@ -19,6 +19,8 @@ WORD = re.compile(r"\w+")
 LEAST_MATCH = 5
 COVERAGE = 0.5
 ITEM_BLOCK_BYTES = 16 << 20
+#: Places of equal seeds that are made at once, or those of one seed of a text if these are more.
+PAIRS_AT_ONCE = 1 << 17
 #: Fixed value: the base of the rolling hash, modulo 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,14 +46,26 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def runs_of(places: np.ndarray, others: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal matches (length, place, other place) from the places of equal seeds of `size` words."""
+def runs_of(owner: np.ndarray, places: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Maximal runs of equal seeds as rows (owner, diagonal, first place, last place), in order."""
     diagonal = places - others
-    order = np.lexsort((places, diagonal))
-    p, q, d = places[order], others[order], diagonal[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(p) != 1)]))
-    ends = np.concatenate([new[1:], [len(p)]])
-    return [(int(e - s) + size - 1, int(p[s]), int(q[s])) for s, e in zip(new, ends)]
+    order = np.lexsort((places, diagonal, owner))
+    p, d, o = places[order], diagonal[order], owner[order]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(o) != 0) | (np.diff(d) != 0) | (np.diff(p) != 1)]))
+    ends = np.concatenate([new[1:], [len(p)]]) - 1
+    return np.stack([o[new], d[new], p[new], p[ends]], axis=1)
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Runs of consecutive stretches of a text as the runs of all of it."""
+    runs = np.concatenate(parts)
+    if len(parts) == 1 or not len(runs):
+        return runs
+    runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))]
+    goes_on = (runs[1:, :2] == runs[:-1, :2]).all(axis=1) & (runs[1:, 2] == runs[:-1, 3] + 1)
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    last = np.concatenate([first[1:], [len(runs)]]) - 1
+    return np.column_stack([runs[first, :3], runs[last, 3]])
 
 
 def tile(runs: list[tuple[int, int, int]], text_size: int, item_size: int, least: int) -> list[tuple[int, int, int]]:
@@ -97,17 +111,23 @@ class Items:
             self.names.append(name)
             self.words.append(np.array(ids))
             self.least.append(size)
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        self.line = np.concatenate(self.words) if self.words else np.zeros(0, np.int64)
+        self.offsets = np.cumsum(lengths) - lengths
         self.seeds = {}
         for size, found in seeds.items():
             found.sort()
             self.seeds[size] = (np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found]), np.array([f[2] for f in found]))
 
     def matches(self, text: str | None) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(item number, words of the text, tiles) of every item that shares a seed with a whole text."""
+        """(item number, words of the text, tiles) of every item that shares a seed with a whole text.
+
+        Places of equal seeds are made for a bounded number of pairs at a time, of which only their runs are kept.
+        """
         get = self.vocabulary.get
         blocks = [np.fromiter(map(get, block, itertools.repeat(-1)), np.int64, len(block)) for block in plain_words(text)]
         ids = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
-        hits: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        runs: dict[int, list[np.ndarray]] = {}
         for size, (values, items, places) in self.seeds.items():
             if len(ids) < size:
                 continue
@@ -119,24 +139,29 @@ class Items:
             for k in range(size):
                 hashes = hashes * BASE + (ids[at + k].astype(np.uint64) + np.uint64(1))
             first, last = np.searchsorted(values, hashes, "left"), np.searchsorted(values, hashes, "right")
-            counts = last - first
-            met = np.flatnonzero(counts)
-            if not len(met):
-                continue
-            spot = np.repeat(at[met], counts[met])
-            rank = np.arange(len(spot)) - np.repeat(np.cumsum(counts[met]) - counts[met], counts[met])
-            entry = np.repeat(first[met], counts[met]) + rank
-            owner, place = items[entry], places[entry]
-            for item in np.unique(owner):
-                own = owner == item
-                p, q = spot[own], place[own]
-                same = np.ones(len(p), bool)  # a hash only proposes
+            met = np.flatnonzero(last > first)
+            counts = (last - first)[met]
+            cuts = np.flatnonzero(np.diff((np.cumsum(counts) - counts) // PAIRS_AT_ONCE)) + 1
+            for part in np.split(np.arange(len(met)), cuts):
+                if not len(part):
+                    continue
+                own, n = met[part], counts[part]
+                spot = np.repeat(at[own], n)
+                rank = np.arange(len(spot)) - np.repeat(np.cumsum(n) - n, n)
+                entry = np.repeat(first[own], n) + rank
+                owner, place = items[entry], places[entry]
+                same = np.ones(len(spot), bool)  # a hash only proposes
                 for k in range(size):
-                    same &= ids[p + k] == self.words[item][q + k]
+                    same &= ids[spot + k] == self.line[self.offsets[owner] + place + k]
                 if same.any():
-                    hits.setdefault(int(item), []).append((p[same], q[same]))
-        for item, ((p, q),) in sorted(hits.items()):
-            yield item, len(ids), tile(runs_of(p, q, self.least[item]), len(ids), len(self.words[item]), self.least[item])
+                    runs.setdefault(size, []).append(runs_of(owner[same], spot[same], place[same]))
+        for size, parts in runs.items():
+            found = joined(parts)
+            cuts = np.flatnonzero(np.diff(found[:, 0])) + 1
+            for own in np.split(found, cuts):
+                item = int(own[0, 0])
+                spans = [(last - first + size, first, first - d) for _, d, first, last in own.tolist()]
+                yield item, len(ids), tile(spans, len(ids), len(self.words[item]), size)
 
     def best(self, text: str | None) -> tuple[float, object, int, int]:
         """(coverage, item, tiles, tiled words) of the most covered item; equal ones by the smaller id, null last."""

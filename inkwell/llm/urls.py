@@ -12,8 +12,10 @@ from inkwell.operators.skew import HOT_ROWS, broadcast_if_small, join_unique
 from inkwell.session import stage
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""
-ROUNDS = 8
+LINK = r"""(?i)href\s*+=\s*+(?:["']\s*+)?(?:https?:)?//([^/"'?#\s>]+)"""
+#: The walks end when the scores of both together change by no more than this in a round; what is then open is at most
+#: DAMPING / (1 - DAMPING) times as much. A round changes at most DAMPING of what the one before did, so rounds are bounded.
+TOLERANCE = 1e-3
 DAMPING = 0.85
 THRESHOLD = 0.5
 SITE_LABELS = 3
@@ -69,12 +71,13 @@ def host_edges(pages: DataFrame, site_labels: int = SITE_LABELS) -> DataFrame:
     return links.union(site).union(alone).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, hot_rows: int = HOT_ROWS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank.
 
     `seeds` (host, good, bad) are page counts. Trust walks along the links from the good seeds;
     distrust walks against them from the bad ones, so a host that links to blocked hosts gets it.
-    Both run as one table of edges of two kinds. Every host has an edge, so no score is lost.
+    Both run as one table of edges of two kinds until their summed change in a round is at most `tolerance`. Every host
+    has an edge, so no score is lost.
     """
     both = edges.select(F.lit(True).alias("good"), "src", "dst", "n").union(edges.select(F.lit(False), "dst", "src", "n"))
     out = both.groupBy("good", "src").agg(F.sum("n").alias("total"))
@@ -86,11 +89,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     )
     start = stage(start.filter("score > 0"), "host-seeds")
     restart = start.select("good", "src", (F.col("score") * F.lit(1 - damping)).alias("score"))
-    scores = start
-    for _ in range(rounds):
+    scores, change = start, None
+    while change is None or change > tolerance:
         moved = join_unique(steps, scores, ["good", "src"], hot_rows=hot_rows, stable_left=True)
         walked = moved.select("good", F.col("dst").alias("src"), (F.col("share") * F.col("score") * F.lit(damping)).alias("score"))
-        scores = stage(walked.union(restart).groupBy("good", "src").agg(F.sum("score").alias("score")), "host-scores")
+        new, old = (df.select("*", F.lit(k).alias("old")) for df, k in ((walked.union(restart), 0.0), (scores.select("good", "src", -F.col("score")), 1.0)))
+        either = new.union(old).groupBy("good", "src").agg(
+            F.coalesce(F.sum(F.when(F.col("old") == 0, F.col("score"))), F.lit(0.0)).alias("score"), F.abs(F.sum("score")).alias("change")
+        )
+        scores = stage(either, "host-scores")
+        change = scores.agg(F.coalesce(F.sum("change"), F.lit(0.0))).first()[0]
+        scores = scores.select("good", "src", "score")
     side = lambda good: F.coalesce(F.sum(F.when(F.col("good") == F.lit(good), F.col("score"))), F.lit(0.0))
     return scores.groupBy(F.col("src").alias("host")).agg(side(True).alias("trust"), side(False).alias("distrust"))
 
@@ -101,7 +110,7 @@ def judge(
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     damping: float = DAMPING,
     threshold: float = THRESHOLD,
     site_labels: int = SITE_LABELS,
@@ -130,7 +139,7 @@ def judge(
     )
     count = lambda verdict: F.count(F.when(F.col("by_rule") == verdict, 1))
     seeds = stage(ruled.filter("by_rule IS NOT NULL").groupBy("host").agg(count("allow").alias("good"), count("block").alias("bad")), "host-rule-pages")
-    scores = stage(propagate(edges, seeds, rounds, damping, hot_rows), "host-trust")
+    scores = stage(propagate(edges, seeds, tolerance, damping, hot_rows), "host-trust")
     judged = join_unique(ruled, scores, "host", "left", hot_rows=hot_rows, stable_left=True)
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_method = F.when(distrust > F.lit(threshold) * (trust + distrust), F.lit("block")).otherwise(F.lit("allow"))

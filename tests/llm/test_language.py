@@ -1,7 +1,12 @@
+import time
+
 import numpy as np
 import pytest
 
-from inkwell.llm.language import identify, train, trigrams, visible
+from pyspark.sql import functions as F
+
+from inkwell.llm.language import DECLARED, identify, train, trigrams, visible
+from inkwell.llm.urls import LINK
 
 WORDS = {"en": ["the", "house", "where", "with", "this", "nothing"], "de": ["der", "und", "schön", "nicht", "über", "ich"], "fr": ["le", "être", "où", "quelle", "français", "deux"]}
 
@@ -55,3 +60,18 @@ def test_null_repeated_and_empty(spark, model):
     assert identify(pages.filter("false"), *model).collect() == []
     languages, logs = train(spark.createDataFrame([], "lang string, text string"))
     assert languages == [] and [r.lang for r in identify(pages, languages, logs).collect()] == [None] * 4
+
+
+def test_unclosed_marks_are_read_once():
+    start = time.time()
+    assert visible("<" * 1_000_000 + "a>b") .strip().endswith("b")
+    assert visible("<a" * 500_000).count("<a") == 500_000
+    assert time.time() - start < 10
+
+
+def test_unclosed_marks_in_the_jvm(spark):
+    html = ["<html " * 200_000, "<html lang" + " " * 300_000, "href=" + " " * 300_000, '<html x="1" lang = "de">']
+    pages = spark.createDataFrame([(h,) for h in html], "html string")
+    start = time.time()
+    found = pages.select(F.regexp_extract("html", DECLARED, 1).alias("d"), F.size(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("n")).collect()
+    assert [(r.d, r.n) for r in found] == [("", 0)] * 3 + [("de", 0)] and time.time() - start < 30

@@ -1,8 +1,10 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from inkwell.llm import tiling
 from inkwell.llm.tiling import Items, decontaminate, drop_contaminated, rolling, tile
 
 
@@ -82,3 +84,18 @@ def test_empty_tables(spark, awkward, nothing, benchmark):
     found = decontaminate(awkward, benchmark.filter("false")).collect()
     assert len(found) == 10 and not any(r.contaminated or r.coverage for r in found)
     assert drop_contaminated(awkward, benchmark.filter("false")).count() == 10
+
+
+def test_a_repeated_word_stays_bounded():
+    """50,000 equal words against an item of 400: a pair of places for each of them would take gigabytes."""
+    tracemalloc.start()
+    share, name, tiles, covered = Items([(1, "a " * 400), (2, "b " * 3 + "a " * 30)], 5).best("a " * 50_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (share, name, tiles, covered) == (1.0, 1, 1, 400) and most < 300 << 20
+
+
+def test_runs_over_several_stretches(monkeypatch):
+    monkeypatch.setattr(tiling, "PAIRS_AT_ONCE", 7)
+    for seed in range(8):
+        test_tiles_equal_brute_force(seed)
