@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from inkwell.llm.words import text_slices, word_blocks
+from inkwell.llm.words import byte_blocks, text_slices
 from inkwell.operators.skew import broadcast_if_small
 from inkwell.session import fresh_path, stage
 
@@ -36,8 +38,10 @@ SAMPLE_CHARS = 16_384
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 BLOCK_BYTES = 256 * 1024
-SLICE_BYTES = 2 << 20
-CACHED_WORDS = 400_000
+SLICE_BYTES = 8 << 20
+#: Words that a worker keeps in arrays for whole texts, and in a dictionary for single words.
+KNOWN_WORDS = 1_500_000
+CACHED_WORDS = 50_000
 WORDS_PER_CALL = 2_000
 MARKS = string.punctuation.encode()
 #: Lower-case letters before this one (Latin-1) are single characters that normalising leaves as they are.
@@ -73,12 +77,69 @@ def words_stand_alone(definition: dict) -> bool:
     return pre[0]["behavior"] == "Removed" and pre[0]["invert"] and leaves_out and rest and plain
 
 
+class WordIds:
+    """The ids of many words in a few arrays: 128-bit digests in order, and each word's stretch of one array of ids.
+
+    Some 30 bytes a word, where a dictionary of byte strings takes 150. Full, it forgets the words that were not asked
+    for since it was last full, or all when that is not half of them.
+    """
+
+    def __init__(self, dtype: str, most: int) -> None:
+        self.most = most
+        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.ids = np.zeros(0, dtype)
+
+    @staticmethod
+    def digests(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+    def places(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Where each digest stands; -1 for an unknown one."""
+        at = np.searchsorted(self.high, high)
+        inside = np.minimum(at, max(0, len(self.high) - 1))
+        known = (at < len(self.high)) & (self.high[inside] == high) & (self.low[inside] == low) if len(self.high) else np.zeros(len(high), bool)
+        self.used[inside[known]] = True
+        return np.where(known, inside, -1)
+
+    def add(self, high: np.ndarray, low: np.ndarray, ids: list[bytes]) -> None:
+        """Further words, none of them known. Two digests with equal first halves would hide one another: the later one is left out."""
+        if len(self.high) + len(high) > self.most:
+            self._forget()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.ids.itemsize
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.ids.dtype)])
+        order = np.argsort(high, kind="stable")
+        at = np.searchsorted(self.high, high[order])
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(high[order]) != 0
+        if len(self.high):
+            new &= self.high[np.minimum(at, len(self.high) - 1)] != high[order]
+        order, at = order[new], at[new]
+        self.high, self.low = np.insert(self.high, at, high[order]), np.insert(self.low, at, low[order])
+        self.start, self.size = np.insert(self.start, at, start[order]), np.insert(self.size, at, size[order].astype(np.int32))
+        self.used = np.insert(self.used, at, True)
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.used)
+        kept = kept if 2 * len(kept) <= self.most else kept[:0]
+        self.ids = self.stretch(kept)
+        self.high, self.low, self.size = self.high[kept], self.low[kept], self.size[kept]
+        self.start, self.used = np.cumsum(self.size, dtype=np.int64) - self.size, np.zeros(len(kept), bool)
+
+    def stretch(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places in turn."""
+        size = self.size[places]
+        ends = np.cumsum(size, dtype=np.int64)
+        return self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[places] - (ends - size), size)]
+
+
 class Encoder:
     """Whole texts to little-endian id bytes with a file of the tokenizers library.
 
-    When words stand alone, a distinct word is encoded once and its ids are kept, for a bounded number of
-    words in two generations: a full one becomes the old one, and words that come again move on from there, so frequent ones
-    stay. Else every text is encoded as it is. Both give the library's ids for the whole text.
+    When words stand alone, a distinct word is encoded once and its ids are kept, for a bounded number of words. Else
+    every text is encoded as it is. Both give the library's ids for the whole text.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
@@ -95,6 +156,7 @@ class Encoder:
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
+        self.known = WordIds(self.dtype, KNOWN_WORDS)
         self.model = self.tokenizer.model
         suffix = getattr(self.model, "end_of_word_suffix", None)
         self.by_words &= bool(suffix)
@@ -175,16 +237,6 @@ class Encoder:
         found, self.cache = [self.cache[w] for w in words], kept
         return found
 
-    def encode_block(self, block: list[bytes]) -> bytes:
-        """The ids of a sequence of words that stand alone; else of the words with single spaces."""
-        if not self.by_words:
-            return self._plain(b" ".join(block).decode()).tobytes()
-        parts = list(map(self.cache.get, block))
-        if None in parts:
-            missing = self.ids_of([w for w, p in zip(block, parts) if p is None])
-            parts = [missing[w] if p is None else p for w, p in zip(block, parts)]
-        return b"".join(parts)
-
     def ids_of(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of some words that stand alone, kept for the next time."""
         if not self.by_words:
@@ -206,10 +258,62 @@ class Encoder:
             return [self._plain(text or "").tobytes() for text in texts]
         # the normaliser lowers case anyway, but a special token is found before that
         lowers = [not any(s[:1].decode() in (text or "") for s in self.special) for text in texts]
-        words = [[w for block in word_blocks(text, lower=lower) for w in block] for text, lower in zip(texts, lowers)]
-        parts = [list(map(self.cache.get, own)) for own in words]
-        missing = self.ids_of([w for own, found in zip(words, parts) if None in found for w, p in zip(own, found) if p is None])
-        return [b"".join([missing[w] if p is None else p for w, p in zip(own, found)] if None in found else found) for own, found in zip(words, parts)]
+        found: list[list[bytes]] = [[] for _ in texts]
+        owner, blocks, held = [], [], 0
+        for number, (text, lower) in enumerate(zip(texts, lowers)):
+            for block in byte_blocks(text, lower):
+                owner.append(number), blocks.append(block)
+                held += len(block)
+                if held >= SLICE_BYTES:
+                    for k, ids in zip(owner, self._encoded(blocks)):
+                        found[k].append(ids)
+                    owner, blocks, held = [], [], 0
+        for k, ids in zip(owner, self._encoded(blocks)):
+            found[k].append(ids)
+        return [b"".join(parts) for parts in found]
+
+    def _encoded(self, blocks: list[bytes]) -> list[bytes]:
+        """The ids of blocks of whole words. Arrow splits and numbers the words; Python sees each distinct one once."""
+        if not blocks:
+            return []
+        texts = pc.ascii_trim_whitespace(pa.array(blocks, pa.binary()).cast(pa.string()))
+        words = pc.ascii_split_whitespace(texts)
+        numbered = words.flatten().dictionary_encode()
+        whole = numbered.dictionary
+        cores = pc.ascii_rtrim(whole, MARKS.decode())
+        # marks behind letters are pieces of their own
+        tailed = pc.and_(pc.less(pc.binary_length(cores), pc.binary_length(whole)), pc.utf8_is_alpha(cores)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(tailed)
+        tails = [word[len(core) :] for word, core in zip(whole.take(pa.array(at)).to_pylist(), cores.take(pa.array(at)).to_pylist())]
+        pieces = pa.concat_arrays([pa.array(["", *tails], pa.string()), pc.if_else(pa.array(tailed), cores, whole)]).dictionary_encode()
+        place = pieces.indices.to_numpy()
+        split = np.zeros((len(whole), 2), np.int64)
+        split[:, 0] = place[len(at) + 1 :]
+        split[at, 1] = place[1 : len(at) + 1]
+        arena, start, size = self._pieces(pieces.dictionary.cast(pa.binary()).to_pylist())
+        line = split[numbered.indices.to_numpy()].ravel()
+        sizes = size[line]
+        ends = np.cumsum(sizes)
+        ids = arena[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[line] - (ends - sizes), sizes)]
+        lasts = np.concatenate([[0], ends[1::2]])[words.offsets.to_numpy()] * ids.itemsize
+        data = ids.tobytes()
+        return [data[low:high] for low, high in zip(lasts[:-1].tolist(), lasts[1:].tolist())]
+
+    def _pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size) of distinct words, known ones looked up and new ones encoded and kept."""
+        high, low = WordIds.digests(words)
+        places = self.known.places(high, low)
+        old, new = np.flatnonzero(places >= 0), np.flatnonzero(places < 0)
+        fresh = self.encode_words([words[k] for k in new])
+        arena = np.concatenate([self.known.stretch(places[old]), np.frombuffer(b"".join(fresh), self.dtype)])
+        size = np.zeros(len(words), np.int64)
+        size[old] = self.known.size[places[old]]
+        size[new] = np.fromiter(map(len, fresh), np.int64, len(fresh)) // arena.itemsize
+        order = np.concatenate([old, new])
+        start = np.zeros(len(words), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        self.known.add(high[new], low[new], fresh)
+        return arena, start, size
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}

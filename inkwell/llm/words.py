@@ -12,8 +12,8 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK_BYTES = 1 << 20
 
 
-def word_blocks(text: str | None, lower: bool = True) -> Iterator[list[bytes]]:
-    """The UTF-8 words `[^\\x20\\x09-\\x0D]+` of a whole text, in blocks, so that a very long text stays bounded.
+def byte_blocks(text: str | None, lower: bool = True) -> Iterator[bytes]:
+    """The UTF-8 bytes of a whole text in blocks that end between words, so that a very long text stays bounded.
 
     A-Z in lower case unless told otherwise; null counts as empty.
     """
@@ -25,10 +25,16 @@ def word_blocks(text: str | None, lower: bool = True) -> Iterator[list[bytes]]:
             cut = SPACE.search(raw, end)
             end = cut.start() if cut else len(raw)
         part = raw[at:end]
-        yield (part.lower() if lower else part).split()
+        yield part.lower() if lower else part
         at = end
 
 
+def word_blocks(text: str | None, lower: bool = True) -> Iterator[list[bytes]]:
+    """The UTF-8 words `[^\\x20\\x09-\\x0D]+` of a whole text, block by block."""
+    for block in byte_blocks(text, lower):
+        yield block.split()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of text, one row at least."""
     for batch in batches:
