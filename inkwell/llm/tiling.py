@@ -163,17 +163,19 @@ class Items:
                 spans = [(last - first + size, first, first - d) for _, d, first, last in own.tolist()]
                 yield item, len(ids), tile(spans, len(ids), len(self.words[item]), size)
 
-    def best(self, text: str | None) -> tuple[float, object, int, int]:
-        """(coverage, item, tiles, tiled words) of the most covered item; equal ones by the smaller id, null last."""
+    def best(self, text: str | None, least_coverage: float = COVERAGE) -> tuple[float, object, int, int, list]:
+        """(coverage, item, tiles, tiled words) of the most covered item, equal ones by the smaller id, null last; and all items held."""
         top = (0.0, None, 0, 0)
-        key = None
+        key, held = None, []
         for item, _, tiles in self.matches(text):
             covered = sum(n for n, _, _ in tiles)
             share, name = covered / len(self.words[item]), self.names[item]
             rank = (-share, name is None, name if name is not None else 0)
             if key is None or rank < key:
                 key, top = rank, (share, name, len(tiles), covered)
-        return top
+            if tiles and share >= least_coverage:
+                held.append(name)
+        return (*top, held)
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int = ITEM_BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
@@ -186,26 +188,28 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes:
         yield sorted(((r["item"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
 
 
-def coverage(rows: DataFrame, items: list[tuple[object, str | None]], item_type: str, least_match: int) -> DataFrame:
-    """`rows` with `text` replaced by coverage, item, tiles and tiled_words of the best item of the block."""
+def coverage(rows: DataFrame, items: list[tuple[object, str | None]], item_type: str, least_match: int, least_coverage: float = COVERAGE) -> DataFrame:
+    """`rows` with `text` replaced by coverage, item, tiles and tiled_words of the best item of the block, and all items held."""
     others = [c for c in rows.columns if c != "text"]
-    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes if c != "text"] + ["coverage double", f"item {item_type}", "tiles int", "tiled_words int"])
+    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes if c != "text"] + ["coverage double", f"item {item_type}", "tiles int", "tiled_words int", f"items array<{item_type}>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(items, least_match)
         for batch in text_slices(batches, "text"):
-            found = [index.best(t) for t in batch.column("text").to_pylist()]
-            names = pa.array([f[1] for f in found], pa.string() if item_type == "string" else pa.int64())
-            new = [pa.array([f[0] for f in found], pa.float64()), names, pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + new, names=others + ["coverage", "item", "tiles", "tiled_words"])
+            found = [index.best(t, least_coverage) for t in batch.column("text").to_pylist()]
+            kind = pa.string() if item_type == "string" else pa.int64()
+            names = pa.array([f[1] for f in found], kind)
+            new = [pa.array([f[0] for f in found], pa.float64()), names, pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()), pa.array([f[4] for f in found], pa.list_(kind))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + new, names=others + ["coverage", "item", "tiles", "tiled_words", "items"])
 
     return rows.mapInArrow(run, schema)
 
 
 def tiled(
-    rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", least_match: int = LEAST_MATCH, block_bytes: int = ITEM_BLOCK_BYTES
-) -> DataFrame:
-    """`rows` (unique by their columns but text) with their best item over all blocks of the benchmark.
+    rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", least_match: int = LEAST_MATCH, block_bytes: int = ITEM_BLOCK_BYTES,
+    least_coverage: float = COVERAGE,
+) -> DataFrame:
+    """`rows` (unique by their columns but text) with their best item and all items held over all blocks of the benchmark.
 
     Every document meets every item through shared seeds of `least_match` words inside its own task;
     no text is shuffled. A benchmark larger than a block takes a pass for each block, whose best items are
@@ -215,7 +219,7 @@ def tiled(
     items = benchmark.withColumn(item_col, F.col(f"`{item_col}`").cast(item_type))
     passes = []
     for block in item_blocks(items, item_col, item_text_col, block_bytes):
-        passes.append(coverage(rows, block, item_type, least_match))
+        passes.append(coverage(rows, block, item_type, least_match, least_coverage))
         if len(passes) > 1:
             passes[-2:] = [stage(p, "tiling-pass") for p in passes[-2:]]
     if len(passes) == 1:
@@ -225,8 +229,8 @@ def tiled(
     for more in passes[1:]:
         whole = whole.union(more)
     rank = F.struct((-F.col("coverage")).alias("c"), F.col("item").isNull().alias("no_item"), "item", "tiles", "tiled_words")
-    best = whole.groupBy(*keys).agg(F.min(rank).alias("best"))
-    return best.select(*keys, (-F.col("best.c")).alias("coverage"), "best.item", "best.tiles", "best.tiled_words")
+    best = whole.groupBy(*keys).agg(F.min(rank).alias("best"), F.flatten(F.collect_list("items")).alias("items"))
+    return best.select(*keys, (-F.col("best.c")).alias("coverage"), "best.item", "best.tiles", "best.tiled_words", "items")
 
 
 def decontaminate(
@@ -240,7 +244,7 @@ def decontaminate(
     least_coverage: float = COVERAGE,
     block_bytes: int = ITEM_BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document: id, contaminated, coverage, the best item, its tiles and tiled words.
+    """One row per document: id, contaminated, coverage, the best item, its tiles and tiled words, and the ids of all items held.
 
     Words are runs of letters, digits and underscores in lower case. A document holds an item when tiles of at
     least `least_match` words, in any order, cover `least_coverage` of the item's words. Items shorter
@@ -250,10 +254,9 @@ def decontaminate(
     """
     scan = scan_of(docs)
     rows = keyed(scan, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = tiled(rows, benchmark, item_col, item_text_col, least_match, block_bytes)
-    held = (F.col("coverage") >= least_coverage) & F.col("item_found")
-    return found.withColumn("item_found", F.col("tiles") > 0).select(
-        F.col("id").alias(id_col), held.alias("contaminated"), "coverage", F.col("item").alias(item_col), "tiles", "tiled_words"
+    found = tiled(rows, benchmark, item_col, item_text_col, least_match, block_bytes, least_coverage)
+    return found.select(
+        F.col("id").alias(id_col), (F.size("items") > 0).alias("contaminated"), "coverage", F.col("item").alias(item_col), "tiles", "tiled_words", F.sort_array("items").alias("items")
     )
 
 
@@ -274,8 +277,8 @@ def drop_contaminated(
         def run(batches: Iterator[pa.RecordBatch], items: list[tuple[object, str | None]] = items) -> Iterator[pa.RecordBatch]:
             index = Items(items, least_match)
             for batch in text_slices(batches, text_col):
-                found = [index.best(t) for t in batch.column(text_col).to_pylist()]
-                yield batch.filter(pa.array([not (f[2] and f[0] >= least_coverage) for f in found], pa.bool_()))
+                found = [index.best(t, least_coverage) for t in batch.column(text_col).to_pylist()]
+                yield batch.filter(pa.array([not f[4] for f in found], pa.bool_()))
 
         kept = stage(kept, "tiling-kept") if kept is not docs else kept
         kept = kept.mapInArrow(run, docs.schema)

@@ -43,8 +43,7 @@ def test_reordered_passages_are_covered():
     item = " ".join(f"q{i}" for i in range(40))
     words = item.split()
     text = "Before. " + " ".join(words[25:]) + ", then " + " ".join(words[:10]).upper() + " and " + " ".join(words[10:25]) + "!"
-    share, name, tiles, covered = Items([(7, item)], 5).best(text)
-    assert (share, name, tiles, covered) == (1.0, 7, 3, 40)
+    assert Items([(7, item)], 5).best(text) == (1.0, 7, 3, 40, [7])
 
 
 def test_rolling_hash_and_trimmed_tiles():
@@ -74,6 +73,15 @@ def test_awkward_documents(spark, awkward, benchmark, block_bytes):
     assert kept.dtypes == docs.dtypes and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [None, 1, 2, 3, 4, 51, 7, 8]))
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 64])
+def test_all_items_of_a_document_are_told(spark, benchmark, block_bytes):
+    text = "The same text, twice the same row. And " + " ".join(f"item{i}" for i in range(12)) + " two words"
+    docs = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontaminate(docs, benchmark, block_bytes=block_bytes).collect()}
+    assert found[1]["items"] == [1, 2, 3] and found[1].contaminated and found[1].item_id == 2
+    assert found[2]["items"] == [] and not found[2].contaminated
+
+
 def test_short_items_match_whole(spark, benchmark):
     docs = spark.createDataFrame([(1, "here are Two words indeed"), (2, "two or three words")], "doc_id long, text string")
     assert {r.doc_id: r.item_id for r in decontaminate(docs, benchmark).collect()} == {1: 3, 2: None}
@@ -89,7 +97,7 @@ def test_empty_tables(spark, awkward, nothing, benchmark):
 def test_a_repeated_word_stays_bounded():
     """50,000 equal words against an item of 400: a pair of places for each of them would take gigabytes."""
     tracemalloc.start()
-    share, name, tiles, covered = Items([(1, "a " * 400), (2, "b " * 3 + "a " * 30)], 5).best("a " * 50_000)
+    share, name, tiles, covered, _ = Items([(1, "a " * 400), (2, "b " * 3 + "a " * 30)], 5).best("a " * 50_000)
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (share, name, tiles, covered) == (1.0, 1, 1, 400) and most < 300 << 20
