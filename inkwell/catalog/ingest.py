@@ -13,9 +13,10 @@ from inkwell.functions import fixed
 from inkwell.functions.text import concat_lenient, concat_strict
 from inkwell.operators.ordering import dense_index
 from inkwell.plans.corpora import short_pairs, without_input
-from inkwell.session import fresh_path
+from inkwell.session import fresh_path, stage
 from inkwell.sources import reports, tables, vectors
 from inkwell.sources.cache import missing_from_cache, with_content_key
+from inkwell.sources.keyfilter import KeyFilters
 from inkwell.sources.scan import scan_indexed, scan_renamed, scan_typed
 from inkwell.sources.schema import key_violations
 
@@ -125,6 +126,29 @@ def load_append(spark, sf_dir):
     return _taken_out(spark, name, path)
 
 
+@query(
+    "key_filter_append",
+    """SELECT "OrderKey", TRUE AS some_unread FROM (SELECT o_orderkey AS "OrderKey" FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey <= 500)
+UNION ALL SELECT -count(*), TRUE FROM orders""",
+)
+def key_filter_append(spark, sf_dir):
+    """An append through key filters: the keys of a batch that are stored already, and the rows once the others are in (negative).
+
+    Most files hold no key of the batch and are not read.
+    """
+    rows = _order_rows(spark, sf_dir)
+    name, path = _new_table(spark, ORDER_TABLE_CONFIG)
+    filters = KeyFilters(spark, name, ["OrderKey"])
+    stored = rows.filter(F.col("OrderKey") % 4 != 0)
+    tables.load(spark, stored.repartitionByRange(16, "OrderKey"), name, keys=["OrderKey"], filters=filters)
+    batch = rows.filter(F.col("OrderKey") <= 500)
+    taken = stage(filters.taken(batch), "taken-keys")
+    read, total = filters.files_for(batch)
+    tables.load(spark, rows.filter(F.col("OrderKey") % 4 == 0), name, overwrite=False, keys=["OrderKey"], filters=filters)
+    whole = _taken_out(spark, name, path).agg((-F.count(F.lit(1))).alias("OrderKey"))
+    return taken.select(F.col("OrderKey").cast("long").alias("OrderKey")).union(whole).withColumn("some_unread", F.lit(len(read) < total))
+
+
 @query("key_violations", "SELECT md5(text) AS text_key, count(*) AS n_rows FROM documents GROUP BY 1 HAVING count(*) > 1 OR md5(text) IS NULL")
 def key_violations_query(spark, sf_dir):
     keyed = st.table(spark, sf_dir, "documents").select(F.md5("text").alias("text_key"))

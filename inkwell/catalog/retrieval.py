@@ -11,9 +11,11 @@ from inkwell.functions.text import concat_lenient
 from inkwell.operators import bm25, knn, ordering
 from inkwell.operators.embed import embed, embedding_column
 from inkwell.operators.skew import join_unique
+from inkwell.operators.textindex import TextIndex
+from inkwell.operators.vectorindex import VectorIndex
 from inkwell.plans import corpora, retrieval
 from inkwell.plans.runs import qa_sample as sample_pair
-from inkwell.session import stage
+from inkwell.session import fresh_path, stage
 
 DIM = 64
 LSH_TABLES, LSH_BITS, LSH_PROBES = 8, 8, 3
@@ -125,6 +127,59 @@ def knn_lsh(spark, sf_dir):
     return join_unique(hits, knn.recall(hits, _self_hits(spark, sf_dir)), "query_id")
 
 
+INDEX_RECALL = 0.9
+
+
+def _index(spark, sf_dir):
+    """(index of all embeddings in a new folder, queries (query_id, vec))."""
+    embeddings = st.table(spark, sf_dir, "embeddings")
+    index = VectorIndex.create(spark, fresh_path(spark, "vector-index"), embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"), "label"))
+    return index, embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+
+@query("vector_index", ranked_sql(PAIRS_SQL, fixed.TOP_K))
+def vector_index(spark, sf_dir):
+    """Stored cells, all of them probed: the exact neighbours of every vector."""
+    index, queries = _index(spark, sf_dir)
+    return index.search(queries, fixed.TOP_K, skip_same=True).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("vector_index_recall", "SELECT way, count(*) AS n_queries, TRUE AS reached FROM embeddings CROSS JOIN (VALUES ('cells'), ('codes')) AS ways(way) GROUP BY way")
+def vector_index_recall(spark, sf_dir):
+    """Whether the probed cells hold 0.9 of the exact neighbours of all vectors, scored by vectors and by codes with rescoring.
+
+    The probes are those that a part of the queries asks for.
+    """
+    index, queries = _index(spark, sf_dir)
+    probes = index.probes_for(ordering.seeded_limit(queries, "query_id", 200, "probes"), fixed.TOP_K, INDEX_RECALL + 0.03, skip_same=True)
+    exact = stage(index.search(queries, fixed.TOP_K, skip_same=True), "index-exact")
+    ways = {"cells": None, "codes": 40 * fixed.TOP_K}
+    shares = [
+        knn.recall(index.search(queries, fixed.TOP_K, probes, rescored, skip_same=True), exact).select(F.lit(way).alias("way"), "recall") for way, rescored in ways.items()
+    ]
+    return shares[0].union(shares[1]).groupBy("way").agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= INDEX_RECALL).alias("reached"))
+
+
+@query(
+    "vector_index_upsert",
+    f"""WITH merged AS (
+  SELECT CASE WHEN label < 2 THEN 1000000 + vec_id ELSE vec_id END AS id, CASE WHEN label >= 7 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS v FROM embeddings
+  UNION ALL SELECT vec_id, embedding FROM embeddings WHERE label < 2),
+pairs AS (SELECT q.vec_id AS query_id, c.id AS match_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.v AS DOUBLE[])), 6) AS score
+  FROM embeddings q JOIN merged c ON q.vec_id <> c.id WHERE q.label = 3)
+{ranked_sql('SELECT * FROM pairs', fixed.TOP_K)}""",
+)
+def vector_index_upsert(spark, sf_dir):
+    """Records turned round and records added, written into the touched cells; then searched."""
+    index, queries = _index(spark, sf_dir)
+    embeddings = st.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"), "label")
+    turned = embeddings.filter("label >= 7").withColumn("values", F.transform("values", lambda x: -x))
+    index.upsert(turned)
+    index.upsert(embeddings.filter("label < 2").withColumn("id", F.col("id") + 1000000))
+    asked = st.table(spark, sf_dir, "embeddings").filter("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return index.search(asked, fixed.TOP_K, skip_same=True).withColumn("rank", F.col("rank").cast("long"))
+
+
 DAMAGED_SQL = f"""damaged AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE label NOT IN (3, 4, 6, 7, 8) AND NOT (label = 5 AND len(list_filter(embedding, lambda x: x > 0.2)) > 0))"""
 
@@ -318,6 +373,14 @@ def bm25_topk(spark, sf_dir):
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("bm25_index", f"WITH {BM25_CTE} {ranked_sql('SELECT * FROM bm', fixed.TOP_K)}")
+def bm25_index(spark, sf_dir):
+    """The same hits from a stored inverted index."""
+    index = TextIndex.create(spark, fresh_path(spark, "text-index"), st.documents(spark, sf_dir), "doc_id", "text")
+    hits = index.search(st.table(spark, sf_dir, "benchmark"), fixed.TOP_K, question_id="item_id", question_text="text")
+    return hits.withColumn("rank", F.col("rank").cast("long"))
+
+
 RERANKED_CTE = f"""{text_hits_cte(fixed.RERANK_FROM)}, {BM25_CTE},
 reranked AS (
   SELECT * FROM (

@@ -41,9 +41,10 @@ class TopK:
         chosen = np.take_along_axis(matched, columns, axis=1).ravel()
         rows = np.repeat(live, kept)[chosen]
         columns, units = columns.ravel()[chosen], np.take_along_axis(units, columns, axis=1).ravel()[chosen]
-        self._merge(rows, units / _UNITS, ids[columns])
+        self.merge(rows, units / _UNITS, ids[columns])
 
-    def _merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    def merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take further matches (query row, rounded score, id) in any order."""
         if self.ids is not None:
             rows = np.concatenate([self.rows, rows])
             scores = np.concatenate([self.scores, scores])

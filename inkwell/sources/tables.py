@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkwell.operators.skew import broadcast_if_small
 from inkwell.session import fresh_path, stage
+from inkwell.sources.keyfilter import KeyFilters
 from inkwell.sources.schema import require_unique, table_schema
 
 
@@ -51,24 +52,29 @@ def load(
     overwrite: bool = True,
     keys: list[str] | None = None,
     chunk_rows: int | None = None,
+    filters: KeyFilters | None = None,
 ) -> None:
     """Replace or extend a table. With `keys`, a null or repeated key stops the load first.
 
     The check groups the batch alone; an append then looks the batch's keys up among the stored ones, which
-    are not shuffled while the batch's keys are measured small. `chunk_rows` bounds the rows per file.
+    are not shuffled while the batch's keys are measured small. With `filters` on the keys only files that may
+    hold one of them are read. `chunk_rows` bounds the rows per file.
     """
     ordered = _in_table_order(spark, df, table)
     if keys:
         own = stage(ordered.select(*keys), "load-keys")
         require_unique(own, keys)
         if not overwrite:
-            taken = spark.table(table).select(*keys).join(broadcast_if_small(own), keys, "left_semi").limit(5).collect()
+            stored = filters.taken(own) if filters else spark.table(table).select(*keys).join(broadcast_if_small(own), keys, "left_semi")
+            taken = stored.limit(5).collect()
             if taken:
                 raise ValueError(f"key {keys} is already stored: {[r.asDict() for r in taken]}")
     writer = ordered.write.mode("overwrite" if overwrite else "append")
     if chunk_rows:
         writer = writer.option("maxRecordsPerFile", chunk_rows)
     writer.insertInto(table)
+    if filters:
+        filters.refresh()
 
 
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
