@@ -54,23 +54,25 @@ def segmentations(pieces: Pieces, texts: list[str | None], names: list[object],
 
 
 def sample_segmentations(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, seed: int = SEED, sharpness: float = 1.0
-) -> DataFrame:
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, seed: int = SEED, sharpness: float = 1.0,
+    slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
     """Up to `samples` distinct segmentations of every whole text: one row each.
 
     Columns: id, sample (0 has the largest noisy value), ids (little-endian 32-bit piece ids), n_pieces,
     log_prob, perturbed, log_inclusion, exact (the ids decode to the very text). Probabilities are of the
     piece model over the whole text. The noise is seeded by the id, so equal ids with equal texts get equal samples.
     Null and empty texts have one empty segmentation, texts with fewer segmentations than asked get
-    all of theirs. Null ids are a key like any other; an empty table gives no rows; other columns are not read.
+    all of theirs. A task works on about `slice_bytes` of text at a time, one text at least. Null ids are a key like any other; an empty table gives no rows; other columns are not read.
     """
     read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = dict(read.dtypes)["id"]
     names = [id_col, "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier steps left in a worker that is used again
         pieces = pieces_of(model_path, sharpness)
-        for batch in text_slices(batches, "text", SLICE_BYTES):
+        for batch in text_slices(batches, "text", slice_bytes):
             texts = batch.column("text").to_pylist()
             rows = [
                 (k, sample, ids.tobytes(), len(ids), log_p, value, inclusion, decode_ids(pieces, ids) == (texts[k] or ""))
