@@ -38,9 +38,9 @@ SAMPLE_CHARS = 16_384
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 BLOCK_BYTES = 256 * 1024
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Words that a worker keeps in arrays for whole texts, and in a dictionary for single words.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 1_000_000
 CACHED_WORDS = 50_000
 WORDS_PER_CALL = 2_000
 MARKS = string.punctuation.encode()
@@ -287,7 +287,7 @@ class Encoder:
         tails = [word[len(core) :] for word, core in zip(whole.take(pa.array(at)).to_pylist(), cores.take(pa.array(at)).to_pylist())]
         pieces = pa.concat_arrays([pa.array(["", *tails], pa.string()), pc.if_else(pa.array(tailed), cores, whole)]).dictionary_encode()
         place = pieces.indices.to_numpy()
-        split = np.zeros((len(whole), 2), np.int64)
+        split = np.zeros((len(whole), 2), np.int32)
         split[:, 0] = place[len(at) + 1 :]
         split[at, 1] = place[1 : len(at) + 1]
         arena, start, size = self._pieces(pieces.dictionary.cast(pa.binary()).to_pylist())
