@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from inkwell.catalog import standins as st
 from inkwell.catalog.registry import query
 from inkwell.functions import fixed
 from inkwell.functions.text import extract_number
+from inkwell.operators.packing import pack, token_counts
 from inkwell.operators.responses import attach_responses as attach
 from inkwell.plans import attempts as at, corpora, runs, search
 from inkwell.session import fresh_path, stage
@@ -330,3 +333,30 @@ def sft_dataset(spark, sf_dir):
     path = fresh_path(spark, "tuning")
     tables.write_parquet(dataset, path, tasks=spark.sparkContext.defaultParallelism)
     return spark.read.schema(dataset.schema).parquet(path).withColumn("n_words", F.col("n_words").cast("long"))
+
+
+SEQUENCE_TOKENS = 2048
+
+
+def _byte_pair_counter():
+    """Tokens of texts in a public byte-level vocabulary."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda texts: [len(found.ids) for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@query(
+    "sft_packed",
+    f"""WITH {st.CODE_QA_CTE},
+ordered AS (SELECT "Id", row_number() OVER (ORDER BY md5('{fixed.TUNING_SEED}:' || "Id"), "Id") AS pos FROM code_qa WHERE "DataSplit" = 'Training' AND "QuestionInput" = '')
+SELECT "Id", TRUE AS within_limit FROM ordered WHERE pos <= {fixed.TUNING_ROWS}""",
+)
+def sft_packed(spark, sf_dir):
+    """The tuning records in sequences of SEQUENCE_TOKENS tokens: each once, and no sequence over the limit."""
+    dataset = corpora.tuning_dataset(st.code_qa(spark, sf_dir))
+    counted = dataset.withColumn("n_tokens", token_counts(F.col("record"), _byte_pair_counter))
+    packed = stage(pack(counted, "Id", "n_tokens", SEQUENCE_TOKENS), "packed")
+    totals = packed.filter("sequence IS NOT NULL").groupBy("sequence").agg(F.sum("n_tokens").alias("total"), F.max("sequence_tokens").alias("told"))
+    met = packed.join(totals, "sequence", "left")  # a sequence has at most SEQUENCE_TOKENS records
+    alone = F.col("sequence").isNull() & (F.col("n_tokens") > SEQUENCE_TOKENS)
+    good = alone | ((F.col("total") <= SEQUENCE_TOKENS) & (F.col("total") == F.col("told")))
+    return met.select("Id", F.coalesce(good, F.lit(False)).alias("within_limit"))
