@@ -95,7 +95,7 @@ def dim_fact_append(spark, sf_dir):
     dim_path, fact_path = fresh_path(spark, "dim"), fresh_path(spark, "fact")
     tables.create_table(spark, dim_table, DIM_CONFIG, "Column_Name", location=dim_path)
     tables.create_table(spark, fact_table, FACT_CONFIG, "Column_Name", location=fact_path)
-    scored = st.scored(spark, sf_dir)
+    scored = stage(st.scored(spark, sf_dir), "scored-batches")
     marked = F.col("RunStyle").endswith("Prompting")
     for batch in (scored.filter(marked), scored.filter(~marked)):
         runs.append_dim_fact(spark, batch, dim_table, fact_table)

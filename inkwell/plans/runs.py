@@ -89,12 +89,12 @@ def model_runs(scored: DataFrame, dim_idx: int = 0, fact_idx: int = 0) -> tuple[
 
 
 def append_dim_fact(spark: SparkSession, scored: DataFrame, dim_table: str, fact_table: str) -> None:
-    """Append a batch of runs; keys continue from the stored maxima and are checked before loading."""
+    """Append a batch of runs. Keys continue from the stored maxima; those of facts are new and unique by that, those of runs are checked."""
     dim_idx = max_id(spark.table(dim_table), "ModelId").first()["Id"]
     fact_idx = max_id(spark.table(fact_table), "Id").first()["Id"]
     dim, fact = model_runs(scored, dim_idx, fact_idx)
     load(spark, dim, dim_table, overwrite=False, keys=["ModelId"])
-    load(spark, fact, fact_table, overwrite=False, keys=["Id"])
+    load(spark, fact, fact_table, overwrite=False)
 
 
 def leaderboard(dim: DataFrame) -> DataFrame:
