@@ -8,7 +8,7 @@ from inkwell.catalog import standins as st
 from inkwell.catalog.registry import query
 from inkwell.functions import fixed, prompts
 from inkwell.functions.text import concat_lenient
-from inkwell.operators import bm25, knn, ordering
+from inkwell.operators import bm25, knn, lsa, ordering
 from inkwell.operators.embed import embed, embedding_column
 from inkwell.operators.skew import join_unique
 from inkwell.operators.textindex import TextIndex
@@ -381,6 +381,15 @@ def bm25_index(spark, sf_dir):
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("learned_neighbours")
+def learned_neighbours(spark, sf_dir):
+    """The documents closest to each benchmark text by vectors learned from all documents."""
+    docs = st.documents(spark, sf_dir)
+    make = lsa.encoder_of(docs, lsa.fit(docs, "text", DIM))
+    asked, corpus = (embed(df, "text", make_encoder=make) for df in (st.table(spark, sf_dir, "benchmark"), docs))
+    return knn.knn_join(asked, corpus, fixed.TOP_K, query_id="item_id", query_vec="values", corpus_id="doc_id", corpus_vec="values")
+
+
 RERANKED_CTE = f"""{text_hits_cte(fixed.RERANK_FROM)}, {BM25_CTE},
 reranked AS (
   SELECT * FROM (
