@@ -20,8 +20,12 @@ def test_query_equals_sql(spark, database, name):
     assert oracle.compare(spark, database, name, function, sql, SF_DIR) is None
 
 
+#: An iterated fit, which SQL cannot express; tests/test_lsa.py holds it against numpy.
+FITTED = {"learned_neighbours"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - FITTED == set(SQL)
     assert set(QUERIES) <= set(contract.queries())
 
 
