@@ -130,10 +130,10 @@ def knn_lsh(spark, sf_dir):
 INDEX_RECALL = 0.9
 
 
-def _index(spark, sf_dir):
+def _index(spark, sf_dir, **options):
     """(index of all embeddings in a new folder, queries (query_id, vec))."""
     embeddings = st.table(spark, sf_dir, "embeddings")
-    index = VectorIndex.create(spark, fresh_path(spark, "vector-index"), embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"), "label"))
+    index = VectorIndex.create(spark, fresh_path(spark, "vector-index"), embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"), "label"), **options)
     return index, embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
 
 
@@ -148,12 +148,15 @@ def vector_index(spark, sf_dir):
 def vector_index_recall(spark, sf_dir):
     """Whether the probed cells hold 0.9 of the exact neighbours of all vectors, scored by vectors and by codes with rescoring.
 
-    The probes are those that a part of the queries asks for.
+    The probes and the candidates by codes are those that a part of the queries asks for. A code stands for two
+    dimensions, so that candidates stay few however many vectors there are.
     """
-    index, queries = _index(spark, sf_dir)
-    probes = index.probes_for(ordering.seeded_limit(queries, "query_id", 200, "probes"), fixed.TOP_K, INDEX_RECALL + 0.03, skip_same=True)
+    index, queries = _index(spark, sf_dir, parts=DIM // 2)
+    drawn = stage(ordering.seeded_limit(queries, "query_id", 200, "probes"), "index-asked")
+    probes = index.probes_for(drawn, fixed.TOP_K, INDEX_RECALL + 0.03, skip_same=True)
+    candidates = index.candidates_for(drawn, fixed.TOP_K, INDEX_RECALL + 0.02, probes, skip_same=True)
     exact = stage(index.search(queries, fixed.TOP_K, skip_same=True), "index-exact")
-    ways = {"cells": None, "codes": 40 * fixed.TOP_K}
+    ways = {"cells": None, "codes": candidates}
     shares = [
         knn.recall(index.search(queries, fixed.TOP_K, probes, rescored, skip_same=True), exact).select(F.lit(way).alias("way"), "recall") for way, rescored in ways.items()
     ]
