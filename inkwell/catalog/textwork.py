@@ -32,7 +32,7 @@ SELECT id, {st.extract_number_sql('text')} AS number FROM texts""",
 def extract_number(spark, sf_dir):
     replied = st.replies(spark, sf_dir).select(F.concat("RunStyle", F.lit(":"), F.col("RowId").cast("string")).alias("id"), F.col("Reply").alias("text"))
     documents = st.documents(spark, sf_dir).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), "text")
-    clocked = F.concat(F.date_format("ts", "HH:mm"), F.lit(" ####"), F.col("value").cast("string"), F.lit("-"))
+    clocked = F.concat(F.date_format("ts", "HH:mm"), F.lit(" ####"), tx.number_text(F.col("value")), F.lit("-"))
     events = st.table(spark, sf_dir, "events").select(F.concat(F.lit("day:"), F.col("event_id").cast("string")).alias("id"), clocked.alias("text"))
     return replied.unionByName(documents).unionByName(events).select("id", tx.extract_number(F.col("text")).alias("number"))
 

@@ -1,5 +1,9 @@
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
+from inkwell.catalog.standins import extract_number_sql
 from inkwell.functions import fixed, prompts, text as tx
 
 NUMBERS = {
@@ -22,6 +26,19 @@ def test_extract_number(spark):
     assert evaluate(spark, [None], tx.extract_number) == [0.0]
 
 
+def test_number_text_is_that_of_the_sql(spark):
+    """Large and small doubles too: `1.0E7` would lose its E as a unit and read as 1.07."""
+    draw = random.Random(2)
+    values = [0.0, -0.0, 0.01, 560.21, 1e7, 12345678.9, 1e15, 1e16, 1.5e17, -2.5e300, 2.5e-300, 0.001, 0.00099, 1e-4, 9.9e-5, 1.5e-7, 0.1 + 0.2, 1e100, 123456789012345.6, float("inf"), float("-inf"), float("nan")]
+    values += [draw.choice((-1, 1)) * float(f"{draw.randrange(1, 10**9)}e{draw.randrange(-16, 10)}") for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", tx.number_text(F.col("v")).alias("t"))
+    frame = frame.select("i", "t", tx.extract_number(F.concat(F.lit("12:00 ####"), "t", F.lit("-"))).alias("n"))
+    connection = duckdb.connect()
+    for row in frame.collect():
+        text, number = connection.execute(f"SELECT v::VARCHAR, {extract_number_sql("'12:00 ####' || v || '-'")} FROM (SELECT ?::DOUBLE AS v)", [values[row["i"]]]).fetchone()
+        assert (row["t"], row["n"]) == (text, number)
+
+
 def test_answer_key(spark):
     texts = ["steps #### 72", "#### 1,080", "a #### 4 #### 5", "no key", None, "#### x"]
     assert evaluate(spark, texts, tx.answer_key) == [72.0, 1080.0, 4.0, None, None, None]
