@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from inkwell.llm.components import components
 from inkwell.llm.frames import FILE, ROW, keyed, scan_of, without
-from inkwell.llm.simhash import shingle_hashes
+from inkwell.llm.simhash import fingerprint, near_links, pigeonhole_masks, shingle_hashes
 from inkwell.llm.words import text_slices
 from inkwell.operators.skew import HOT_ROWS, is_small, join_unique, repeated, salted
 from inkwell.session import stage
@@ -26,6 +26,8 @@ CELL_SHINGLES, MOST_CELLS = 4, 4096
 SMALL_GROUP = 32
 PACK = 128
 HUB_PAIRS = 256
+#: Fingerprints of sets that differ in at most so many bits are linked through the Gray-order index, before sets are compared.
+RADIUS = 4
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -57,25 +59,26 @@ def offered(hashes: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
 
 
 def described(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """`rows` with `text` replaced by size, digest and profile of its shingle set and the shingles that may be in its prefix."""
+    """`rows` with `text` replaced by size, digest, fingerprint and profile of its shingle set and the shingles that may be in its prefix."""
     others = [c for c in rows.columns if c != "text"]
-    names = [*others, "size", "digest", "profile", "first", "shingles"]
-    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes if c != "text"] + ["size long, digest binary, profile binary, first long, shingles array<long>"])
+    names = [*others, "size", "digest", "f0", "profile", "first", "shingles"]
+    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes if c != "text"] + ["size long, digest binary, f0 long, profile binary, first long, shingles array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            sizes, digests, profiles, firsts, lists = [], [], [], [], []
+            sizes, digests, codes, profiles, firsts, lists = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text, words)
                 own, first = offered(hashes, similarity)
                 sizes.append(len(hashes))
                 digests.append(hashlib.md5(hashes.tobytes()).digest())
+                codes.append(fingerprint(hashes)[0])
                 profiles.append(profile(hashes))
                 firsts.append(first)
                 lists.append(own.view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
             shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists)))
-            new = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(profiles, pa.binary()), pa.array(firsts, pa.int64()), shingles]
+            new = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(np.array(codes, np.int64)), pa.array(profiles, pa.binary()), pa.array(firsts, pa.int64()), shingles]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + new, names=names)
 
     return rows.mapInArrow(run, schema)
@@ -249,17 +252,39 @@ def in_packs(placed: DataFrame, nodes: DataFrame, similarity: float, hot_rows: i
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def by_fingerprint(nodes: DataFrame, again: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs (a, b), staged, that link the sets whose fingerprints lie within RADIUS bits of each other, found in Gray order.
+
+    Equal fingerprints are linked to their smallest node, the others as `near_links` spans them.
+    """
+    own = nodes.select("node", "f0")
+    if not again.isEmpty():
+        own = join_unique(own, again, "node", "left", hot_rows=hot_rows).filter(F.col("again").isNull()).drop("again")
+    own = stage(own, "near-fingerprints")
+    distinct = stage(own.groupBy("f0").agg(F.min("node").alias("low")), "near-distinct-fingerprints")
+    equal = join_unique(own, distinct, "f0", hot_rows=hot_rows, stable_left=True).filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    close = near_links(distinct.withColumnRenamed("low", "node"), pigeonhole_masks(RADIUS), 1, RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stage(equal.union(close).filter("a <> b").distinct(), "near-by-fingerprint")
+
+
 def similar_sets(nodes: DataFrame, again: DataFrame, texts: DataFrame, words: int, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component), staged, of the distinct sets linked by a Jaccard similarity of at least `similarity`, every link verified.
 
-    The sets that share a shingle of their prefixes first meet its smallest node only, which joins large groups
-    with one pair for each member; then all pairs that are still in different components meet.
+    Sets are first linked by their fingerprints through the Gray-order index. That may miss pairs, so the sets that share a
+    shingle of their prefixes and are in different components meet its smallest node next, one pair for each member, and
+    then all pairs that are still in different components meet.
     """
+    close = by_fingerprint(nodes, again, hot_rows)
+    linked = alike(not_ruled_out(close, nodes, similarity, hot_rows), nodes, texts, words, similarity, hot_rows)
+    early = stage(components(linked, hot_rows), "near-early-labels")
     prefix = prefixes(nodes, again, similarity, hot_rows)
     lows = stage(prefix.groupBy("shingle").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-lows")
     met = stage(join_unique(prefix, lows, "shingle", hot_rows=hot_rows, stable_left=True), "near-met")
     stars = stage(met.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
-    links = alike(not_ruled_out(stars, nodes, similarity, hot_rows), nodes, texts, words, similarity, hot_rows)
+    for side in ("a", "b"):
+        stars = join_unique(stars, early.withColumnsRenamed({"node": side, "component": f"of_{side}"}), side, "left", hot_rows=hot_rows)
+    stars = stage(stars.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "near-stars-apart")
+    links = stage(linked.union(alike(not_ruled_out(stars, nodes, similarity, hot_rows), nodes, texts, words, similarity, hot_rows)), "near-verified")
     labels = stage(components(links, hot_rows), "near-labels")
     placed = join_unique(met.drop("low"), labels, "node", "left", hot_rows=hot_rows, stable_left=True)
     placed = stage(placed.select("shingle", "node", "size", F.coalesce("component", "node").alias("component")), "near-placed")

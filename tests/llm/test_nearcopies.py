@@ -120,3 +120,15 @@ def test_large_groups_in_packs(spark, monkeypatch):
     texts = [(k, " ".join(words[: 20 + k % 41])) for k in range(120)] + [(500, "a b c"), (501, "a b d")]
     found = drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string"), hot_rows=7)
     assert sorted(r.doc_id for r in found.collect()) == slow_smallest(texts)
+
+
+def test_fingerprints_link_before_sets_meet(spark, monkeypatch):
+    """The Gray-order index proposes every pair within its radius, each is verified, and it alone joins close copies."""
+    draw = np.random.default_rng(12)
+    base = [[f"w{draw.integers(0, 10**9)}" for _ in range(400)] for _ in range(20)]
+    texts = [(k, " ".join(w)) for k, w in enumerate(base)] + [(100 + k, " ".join([*w[:-1], "end"])) for k, w in enumerate(base)]
+    asked, real = [], nearcopies.alike
+    monkeypatch.setattr(nearcopies, "alike", lambda pairs, *rest: asked.append(pairs.count()) or real(pairs, *rest))
+    found = drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == slow_smallest(texts) == list(range(20))
+    assert asked[0] >= 18 and sum(asked[1:]) <= 2
