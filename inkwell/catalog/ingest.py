@@ -12,6 +12,7 @@ from inkwell.catalog.registry import query
 from inkwell.functions import fixed
 from inkwell.functions.text import concat_lenient, concat_strict
 from inkwell.operators.ordering import dense_index
+from inkwell.operators.skew import tasks_of_scan
 from inkwell.plans.corpora import short_pairs, without_input
 from inkwell.session import fresh_path, stage
 from inkwell.sources import reports, tables, vectors
@@ -191,7 +192,7 @@ def sql_script(spark, sf_dir):
 def parquet_roundtrip(spark, sf_dir):
     documents = st.table(spark, sf_dir, "documents")
     path = fresh_path(spark, "roundtrip")
-    tables.write_parquet(documents, path)
+    tables.write_parquet(documents, path, tasks=tasks_of_scan(documents, tables.WRITTEN_BYTES))
     return spark.read.schema(documents.schema).parquet(path)
 
 

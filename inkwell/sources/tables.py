@@ -131,6 +131,10 @@ def max_id(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.coalesce(F.max(column), F.lit(0)).cast("long").alias("Id"))
 
 
+#: Bytes of files that a task compresses at the highest levels, some tens of seconds of work.
+WRITTEN_BYTES = 8 << 20
+
+
 def write_parquet(df: DataFrame, path: str, level: int = 22, tasks: int | None = None) -> None:
     """Parquet with zstd. High levels cost far more than reading the rows, so few rows are best dealt over `tasks` tasks."""
     frame = df.repartition(tasks) if tasks else df
