@@ -13,6 +13,9 @@ from inkwell.session import stage
 K1 = 1.2
 B = 0.75
 MAX_BROADCAST_TERMS = 500_000
+#: Pairs of a question and a document that a task adds up and ranks at most, and the most tasks of a block of questions.
+TASK_PAIRS = 1_000_000
+MOST_TASKS = 100_000
 #: The term that stands for the document itself; no token is empty.
 WHOLE = ""
 
@@ -74,12 +77,14 @@ def bm25_topk(
     doc_text: str,
     max_broadcast_terms: int = MAX_BROADCAST_TERMS,
     hot_rows: int = HOT_ROWS,
+    task_pairs: int = TASK_PAIRS,
 ) -> DataFrame:
     """The k best documents per question: (query_id, match_id, score, rank); no shared term, no row.
 
     The counted terms are shuffled by document once. Questions come to them in blocks of at most
     about `max_broadcast_terms` terms, so scores are summed where the document's terms are, and the ranking sends
-    k rows per question and task on: questions times documents is never shuffled.
+    k rows per question and task on: questions times documents is never shuffled. Documents are dealt over so many tasks
+    that one holds about `task_pairs` pairs, however narrow the counts are that they come from.
     """
     terms = stage(question_terms(questions, question_id, question_text), "bm25-questions")
     counts = term_counts(docs, doc_id, doc_text, terms, max_broadcast_terms, hot_rows)
@@ -87,10 +92,13 @@ def bm25_topk(
     weighted = stage(join_unique(terms, idf, "term", hot_rows=hot_rows, stable_left=True).select("query_id", "term", "idf"), "bm25-weighted")
     matched = counts.filter(F.col("term") != WHOLE)
     blocks = 1 if is_small(weighted, max_broadcast_terms) else 2 * -(-weighted.count() // max(1, max_broadcast_terms))
+    asked, held = weighted.select("query_id").distinct().count(), counts.filter(F.col("term") == WHOLE).count()
+    least = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, min(MOST_TASKS, asked * held // (blocks * task_pairs) + 1))
     found = None
     for block in range(blocks):
         part = weighted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else weighted
-        here = matched.repartition("match_id").join(F.broadcast(part), "term")
+        here = matched.repartition(tasks, "match_id").join(F.broadcast(part), "term")
         # grouped by more than the documents are dealt by, so this aggregate needs no shuffle
         summed = here.groupBy("query_id", "match_id").agg(F.round(F.sum(_gain(mean_length)), SCORE_DIGITS).alias("score"))
         ranked = rank_matches(summed, k)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkwell.catalog import evaluation
+from inkwell.operators.bm25 import bm25_topk
 from inkwell.functions.text import DROPPED, NUMBER, extract_number, strip_blanks
 
 
@@ -27,3 +28,12 @@ def test_shorter_steps_read_the_same_numbers(spark):
     texts = [(None,), ("",), ("####",), ("#####5",), ("1#### 2####",)] + [("".join(drawn.choices(parts, k=drawn.randint(1, 8))),) for _ in range(4000)]
     found = spark.createDataFrame(texts, "text string").withColumns({"short": extract_number(F.col("text")), "long": stepwise(F.col("text"))})
     assert found.filter(~F.col("short").eqNullSafe(F.col("long"))).collect() == []
+
+
+def test_bm25_deals_pairs_over_tasks(spark):
+    docs = spark.createDataFrame([(n, f"common word{n % 7}") for n in range(300)], "id long, text string")
+    questions = spark.createDataFrame([(n, "common") for n in range(20)], "id long, text string")
+    names = dict(question_id="id", question_text="text", doc_id="id", doc_text="text")
+    dealt = bm25_topk(questions, docs, 3, **names, task_pairs=100)
+    assert "hashpartitioning(match_id" in dealt._jdf.queryExecution().toString() and ", 61)" in dealt._jdf.queryExecution().toString()
+    assert sorted(dealt.collect()) == sorted(bm25_topk(questions, docs, 3, **names).collect())
