@@ -15,13 +15,13 @@ from inkwell.llm.components import components
 from inkwell.llm.frames import FILE, ROW, keyed, scan_of, without
 from inkwell.llm.simhash import fingerprint, near_links, pigeonhole_masks, shingle_hashes
 from inkwell.llm.words import text_slices
-from inkwell.operators.skew import HOT_ROWS, is_small, join_unique, repeated, salted
+from inkwell.operators.skew import HOT_ROWS, join_unique, repeated, salted
 from inkwell.session import stage
 
 #: Eighths of the hash values that come first in the order of shingles, by their number of sets; the rest follow by hash.
 FIRST_EIGHTHS = 2
-#: Mean shingles of a set in one cell of its profile, and the most cells.
-CELL_SHINGLES, MOST_CELLS = 4, 4096
+#: Cells of a profile for each shingle of its set, the fewest cells and the bits of the most.
+SHINGLE_CELLS, LEAST_CELLS, MOST_BITS = 8, 64, 15
 #: Sets of a shingle that meet pair by pair; beyond it they meet in packs of PACK, by profile.
 SMALL_GROUP = 32
 PACK = 128
@@ -40,14 +40,14 @@ def places(size: int, similarity: float) -> int:
 
 
 def profile(hashes: np.ndarray) -> bytes:
-    """How many shingles lie in each of 2^k equal ranges of hash values, as bytes; empty when a byte is too small.
+    """Which of 2^k ranges of hash values, interleaved, hold shingles, a bit for each; empty when one holds 256 or more.
 
-    Twice the common shingles of two sets are bounded by the sum of the smaller counts, so a profile rules out pairs
-    without their sets.
+    Shingles in cells that another set leaves empty are not common to both, so a profile rules out pairs without their sets,
+    and with several cells for each shingle few others stay.
     """
-    bits = min(MOST_CELLS, max(16, len(hashes) // CELL_SHINGLES)).bit_length() - 1
-    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+    cells = 1 << min(1 << MOST_BITS, max(LEAST_CELLS, SHINGLE_CELLS * len(hashes))).bit_length() - 1
+    counts = np.bincount((hashes >> np.uint64(64 - MOST_BITS)).astype(np.int64) & (cells - 1), minlength=cells)
+    return np.packbits(counts > 0).tobytes() if counts.max(initial=0) < 256 else b""
 
 
 def offered(hashes: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
@@ -92,15 +92,16 @@ def prefixes(rows: DataFrame, again: DataFrame, similarity: float, hot_rows: int
     rest follow by hash. Shingles of a single set fill places but meet nothing, so they are left out. `again` names
     the nodes that repeat a set; they count but have no prefix.
     """
-    each = rows.select("node", "size", "first", F.posexplode("shingles").alias("at", "shingle"))
+    each = rows.select("node", "first", F.posexplode("shingles").alias("at", "shingle")).select("shingle", "node", (F.col("at") >= F.col("first")).alias("rest"))
     shared = stage(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"), "near-shared")
-    if is_small(shared):
-        met = each.join(F.broadcast(shared), "shingle")
-    else:  # the counts tell which shingles are hot
-        hot = shared.filter(F.col("sets") > hot_rows).select(F.xxhash64("shingle").alias("_hot_hash"), F.ceil(F.col("sets") / hot_rows).cast("int").alias("_salts"))
+    # the counts tell which shingles are hot
+    hot = shared.filter(F.col("sets") > hot_rows).select(F.xxhash64("shingle").alias("_hot_hash"), F.ceil(F.col("sets") / hot_rows).cast("int").alias("_salts"))
+    if hot.isEmpty():
+        met = each.join(shared, "shingle")
+    else:
         met = salted(each, hot, ["shingle"]).join(repeated(shared, hot, ["shingle"]), ["shingle", "_salt"]).drop("_salt")
-    place = F.struct((F.col("at") >= F.col("first")).alias("rest"), "sets", "shingle")
-    own = met.groupBy("node", "size", "first").agg(F.sort_array(F.collect_list(place)).alias("own"))
+    own = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rest", "sets", "shingle"))).alias("own"))
+    own = own.join(rows.select("node", "size", "first"), "node")
     head, rest = F.filter("own", lambda x: ~x.getField("rest")), F.filter("own", lambda x: x.getField("rest"))
     most = F.least(F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1, F.col("first"))
     taken = F.greatest(most - (F.col("first") - F.size(head)), F.lit(0)).cast("int")
@@ -112,14 +113,16 @@ def prefixes(rows: DataFrame, again: DataFrame, similarity: float, hot_rows: int
     return stage(left.filter(F.col("again").isNull()).drop("again"), "near-prefix")
 
 
-def most_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """An upper bound of the common shingles of each row of a with each row of b, profiles of equal width."""
-    return np.stack([np.minimum(row, b).sum(axis=1, dtype=np.int64) for row in a]) if len(a) else np.zeros((0, len(b)), np.int64)
+def most_common(sizes: np.ndarray, a: np.ndarray, other_sizes: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An upper bound of the common shingles of each set of a with each of b, profiles of equal width as 64-bit words."""
+    both = np.stack([np.bitwise_count(row & b).sum(axis=1, dtype=np.int64) for row in a])
+    spare, other_spare = (n - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for n, x in ((sizes, a), (other_sizes, b)))
+    return both + np.minimum(spare[:, None], other_spare[None, :])
 
 
 def folded(profiles: list[bytes], width: int) -> np.ndarray:
-    """Profiles of any widths as rows of `width` counts."""
-    return np.stack([np.frombuffer(p, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.uint16) for p in profiles])
+    """Profiles of any widths as rows of `width` bytes, in 64-bit words."""
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8), axis=0) for p in profiles])
 
 
 def may_be_alike(sizes: np.ndarray, profiles: list[bytes], other_sizes: np.ndarray, other_profiles: list[bytes], similarity: float) -> np.ndarray:
@@ -128,7 +131,7 @@ def may_be_alike(sizes: np.ndarray, profiles: list[bytes], other_sizes: np.ndarr
     known, other_known = (np.array([len(p) > 0 for p in x], bool) for x in (profiles, other_profiles))
     if known.any() and other_known.any():
         width = min(len(p) for p in [*profiles, *other_profiles] if p)
-        bound = most_common(folded([p for p in profiles if p], width), folded([p for p in other_profiles if p], width))
+        bound = most_common(sizes[known], folded([p for p in profiles if p], width), other_sizes[other_known], folded([p for p in other_profiles if p], width))
         at = np.ix_(known, other_known)
         most[at] = np.minimum(most[at], bound)
     return most >= similarity * (sizes[:, None] + other_sizes[None, :] - most) - 1e-9
@@ -136,7 +139,8 @@ def may_be_alike(sizes: np.ndarray, profiles: list[bytes], other_sizes: np.ndarr
 
 def not_ruled_out(pairs: DataFrame, nodes: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The pairs (a, b) that sizes and profiles do not rule out, staged."""
-    facts = nodes.select("node", "size", "profile")
+    needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-needed")
+    facts = stage(join_unique(nodes.select("node", "size", "profile"), needed, "node", "left_semi", hot_rows=hot_rows, stable_left=True), "near-facts")
     met = pairs
     for side in ("a", "b"):
         met = join_unique(met, facts.withColumnsRenamed({"node": side, "size": f"size_{side}", "profile": f"profile_{side}"}), side, hot_rows=hot_rows)
@@ -246,8 +250,9 @@ def in_packs(placed: DataFrame, nodes: DataFrame, similarity: float, hot_rows: i
                 i, j = np.nonzero(good & (component[:, None] != other_component[None, :]))
                 a.append(np.minimum(node[i], other_node[j]))
                 b.append(np.maximum(node[i], other_node[j]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            if a:  # sets meet in several shingles
+                once = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long").distinct()
 

@@ -132,3 +132,16 @@ def test_fingerprints_link_before_sets_meet(spark, monkeypatch):
     found = drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string"))
     assert sorted(r.doc_id for r in found.collect()) == slow_smallest(texts) == list(range(20))
     assert asked[0] >= 18 and sum(asked[1:]) <= 2
+
+
+def test_a_large_group_below_the_similarity_proposes_few_pairs(spark):
+    """Texts of one origin that share most prefixes but lie near 0.6 are ruled out by profiles, not pair by pair on their texts."""
+    draw = np.random.default_rng(21)
+    base = [f"w{draw.integers(0, 10**9)}" for _ in range(160)]
+    changed = lambda: {int(p): f"c{draw.integers(0, 10**9)}" for p in draw.choice(160, 4, replace=False)}
+    texts = [(k, " ".join(swap.get(p, w) for p, w in enumerate(base))) for k, swap in enumerate(changed() for _ in range(300))]
+    docs = stage(spark.createDataFrame(texts, "doc_id long, text string"), "origin")
+    nodes = stage(described(keyed(docs, docs["doc_id"].alias("node"), docs["text"].alias("text")), 5, 0.8), "origin-nodes")
+    prefix = prefixes(nodes, spark.createDataFrame([], "node long, again boolean"), 0.8).selectExpr("shingle", "node", "size", "node AS component")
+    assert across(prefix, nodes, 0.8).count() <= 300
+    assert [r.doc_id for r in drop_near_copies(docs).orderBy("doc_id").collect()] == slow_smallest(texts)
