@@ -25,6 +25,8 @@ SHINGLE_CELLS, LEAST_CELLS, MOST_BITS = 8, 64, 15
 #: Sets of a shingle that meet pair by pair; beyond it they meet in packs of PACK, by profile.
 SMALL_GROUP = 32
 PACK = 128
+#: Columns of a matrix of a pack's shingles.
+CELLS = 8192
 HUB_PAIRS = 256
 #: Fingerprints of sets that differ in at most so many bits are linked through the Gray-order index, before sets are compared.
 RADIUS = 4
@@ -217,20 +219,40 @@ def across(placed: DataFrame, nodes: DataFrame, similarity: float, hot_rows: int
     return near if many.isEmpty() else stage(near.union(in_packs(many, nodes, similarity, hot_rows)).distinct(), "near-proposed")
 
 
+def met_before(lists: pa.ListArray, other_lists: pa.ListArray) -> np.ndarray:
+    """The matrix of pairs whose lists have a shingle in common."""
+    (ends, flat), (other_ends, other_flat) = ((x.offsets.to_numpy(), x.values.to_numpy()) for x in (lists, other_lists))
+    flat, other_flat = flat[ends[0] : ends[-1]], other_flat[other_ends[0] : other_ends[-1]]
+    common, found = np.intersect1d(flat, other_flat), np.zeros((len(lists), len(other_lists)), bool)
+    for start in range(0, len(common), CELLS):
+        part, held = common[start : start + CELLS], []
+        for values, bounds in ((flat, ends), (other_flat, other_ends)):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            row, known = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), part[at] == values
+            matrix = np.zeros((len(bounds) - 1, len(part)), np.float32)
+            matrix[row[known], at[known]] = 1
+            held.append(matrix)
+        found |= held[0] @ held[1].T > 0
+    return found
+
+
 def in_packs(placed: DataFrame, nodes: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs (a, b) of different components that share a shingle of `placed` and are not ruled out.
 
     The sets of a shingle go in packs by size class, whose neighbours alone can be similar; two packs are compared at once by
-    profiles, so no pair leaves the task that is ruled out.
+    profiles, so no pair leaves the task that is ruled out. Sets that share several shingles are compared at the first of
+    them alone: a set brings those of its shingles that come before.
     """
     level = F.floor(F.log("size") / math.log(1 / similarity)) if similarity < 1 else F.col("size")
     placed = stage(placed.withColumn("level", level), "near-levels")
     counts = stage(placed.groupBy("shingle", "level").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("packs")), "near-packs")
     dealt = join_unique(placed, counts, ["shingle", "level"], hot_rows=hot_rows, stable_left=True)
     dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("node"), F.col("packs"))).select("shingle", "level", "pack", "node", "component")
-    facts = nodes.select("node", "size", "profile")
+    lists = placed.groupBy("node").agg(F.sort_array(F.collect_set("shingle")).alias("all"))
+    facts = stage(lists.join(nodes.select("node", "size", "profile"), "node"), "near-listed")
     full = join_unique(stage(dealt, "near-dealt"), facts, "node", hot_rows=hot_rows, stable_left=True)
-    packed = full.groupBy("shingle", "level", "pack").agg(F.collect_list(F.struct("node", "component", "size", "profile")).alias("own"))
+    before = F.slice("all", F.lit(1), (F.array_position("all", F.col("shingle")) - 1).cast("int")).alias("before")
+    packed = full.groupBy("shingle", "level", "pack").agg(F.collect_list(F.struct("node", "component", "size", "profile", before)).alias("own"))
     packed = stage(packed, "near-packed")
     other = packed.select("shingle", F.col("level").alias("other_level"), F.col("pack").alias("other_pack"), F.col("own").alias("others"))
     near = other.withColumn("level", F.explode(F.array("other_level", F.col("other_level") - 1)))
@@ -240,21 +262,28 @@ def in_packs(placed: DataFrame, nodes: DataFrame, similarity: float, hot_rows: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for own, others in zip(batch.column("own").to_pylist(), batch.column("others").to_pylist()):
-                node, other_node = (np.array([r["node"] for r in x]) for x in (own, others))
-                component, other_component = (np.array([r["component"] for r in x]) for x in (own, others))
+            for at in range(batch.num_rows):  # two packs at a time are objects
+                own, others = (batch.column(c)[at].values for c in ("own", "others"))
+                node, other_node = (x.field("node").to_numpy() for x in (own, others))
+                component, other_component = (x.field("component").to_numpy() for x in (own, others))
                 if component.min() == component.max() == other_component.min() == other_component.max():
                     continue
-                sizes, other_sizes = (np.array([r["size"] for r in x]) for x in (own, others))
-                good = may_be_alike(sizes, [r["profile"] for r in own], other_sizes, [r["profile"] for r in others], similarity)
-                i, j = np.nonzero(good & (component[:, None] != other_component[None, :]))
+                open_pairs = (component[:, None] != other_component[None, :]) & ~met_before(own.field("before"), others.field("before"))
+                rows, columns = np.flatnonzero(open_pairs.any(axis=1)), np.flatnonzero(open_pairs.any(axis=0))
+                if not len(rows):
+                    continue
+                sizes, other_sizes = own.field("size").to_numpy()[rows], others.field("size").to_numpy()[columns]
+                profiles, other_profiles = (x.field("profile").take(pa.array(k)).to_pylist() for x, k in ((own, rows), (others, columns)))
+                good = may_be_alike(sizes, profiles, other_sizes, other_profiles, similarity)
+                i, j = np.nonzero(good & open_pairs[np.ix_(rows, columns)])
+                i, j = rows[i], columns[j]
                 a.append(np.minimum(node[i], other_node[j]))
                 b.append(np.maximum(node[i], other_node[j]))
-            if a:  # sets meet in several shingles
-                once = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], names=["a", "b"])
+            if a:  # a pair of one pack comes both ways round
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long")
 
 
 def by_fingerprint(nodes: DataFrame, again: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
