@@ -47,15 +47,17 @@ class TextIndex:
         tf, length = F.col("tf").cast("double"), F.col("length")
         gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
         placed = counts.withColumn("range", F.pmod(F.xxhash64("match_id"), F.lit(ranges))).withColumn("gain", gain)
+        # dealt by term once, so that the blocks of a term are made, sorted and written where its rows are
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        dealt = placed.select("*", bucket).repartition("bucket", "term")
         # a block holds about range_docs documents, whatever the term
-        blocks = placed.groupBy("term", "range").agg(
+        blocks = dealt.groupBy("bucket", "term", "range").agg(
             F.max("gain").alias("most"), F.collect_list(F.struct("match_id", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))).alias("docs")
         )
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-        stored = stage(blocks.select("*", bucket), "text-index-blocks")
-        stored.repartition("bucket", "term").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
-        terms = stored.groupBy("term", "bucket").agg(F.sum(F.size("docs")).alias("df"))
-        terms.write.parquet(f"{path}/terms")
+        blocks = blocks.select("term", "range", "most", "docs", "bucket")
+        blocks.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/postings")
+        stored = spark.read.schema(blocks.schema).parquet(f"{path}/postings")
+        counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", bucket, "df").write.parquet(f"{path}/terms")
         stored.select(F.expr("docs[0].match_id").alias("match_id")).limit(0).coalesce(1).write.parquet(f"{path}/names")  # the type of ids alone
         spark.createDataFrame([(n, float(mean), ranges)], "docs long, mean_length double, ranges long").coalesce(1).write.parquet(f"{path}/facts")
         return cls(spark, path)
