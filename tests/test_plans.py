@@ -155,3 +155,32 @@ def test_before_after(spark):
     before = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id long, answer string")
     after = spark.createDataFrame([(1, "a"), (2, "b"), (3, "x")], "id long, answer string")
     assert {r["id"]: r["changed"] for r in runs.before_after(before, after, "id").collect()} == {1: False, 2: True, 3: True}
+
+
+@pytest.mark.parametrize("bytes_each, alike", [(256 << 20, 1000), (40, 2)])
+def test_contexts_of_parts_equal_those_of_a_join(spark, monkeypatch, bytes_each, alike):
+    """Ids that repeat, null and empty texts, questions without a hit or an id, and many with the same closest document; a text once went to each hit."""
+    monkeypatch.setattr(retrieval, "PART_BYTES", bytes_each)
+    monkeypatch.setattr(retrieval, "QUESTIONS_OF_A_MATCH", alike)
+    docs = spark.createDataFrame([(n, f"text {n} é" * 3) for n in range(12)] + [(20, None), (21, ""), (3, "twice"), (None, "none")], "id long, text string")
+    hits = [(q, m, 1.0, r + 1) for q in range(30) for r, m in enumerate([0 if q < 20 else q % 12, 20, q % 5 + 6, 21])] + [(31, 20, 1.0, 1), (32, 3, 1.0, 1), (32, 5, 1.0, 2), (32, 5, 1.0, 3)]
+    hits = spark.createDataFrame(hits, "query_id long, match_id long, score double, rank int")
+    asked = spark.createDataFrame([(q, f"q{q}") for q in [*range(33), 4, 40]] + [(None, "no id")], "q long, note string")
+    found = retrieval.joined_contexts(hits, docs, asked, "q", "id")
+    assert found.columns == ["q", "note", "context"]
+    whole = retrieval.build_context(retrieval.fetch_documents(hits.filter("query_id <> 32"), docs, "id"), asked, "q").filter("q IS NULL OR q <> 32")
+    rows = lambda df: sorted((r["q"] is None, r["q"] or 0, r["note"], r["context"]) for r in df.collect())
+    assert rows(found.filter("q IS NULL OR q <> 32")) == rows(whole)
+    twice = found.filter("q = 32").first()["context"].split("\n\n")
+    assert sorted(twice[:2]) == sorted(["twice", "text 3 é" * 3]) and twice[2:] == ["text 5 é" * 3] * 2
+    assert retrieval.joined_contexts(hits.limit(0), docs, asked, "q", "id").filter("context = ''").count() == asked.count()
+
+
+def test_a_text_goes_once_to_a_part(spark):
+    docs = spark.createDataFrame([(n, f"text {n}") for n in range(4)], "id long, text string")
+    hits = spark.createDataFrame([(q, m, 1.0, m + 1) for q in range(50) for m in range(4)], "query_id long, match_id long, score double, rank int")
+    asked = spark.createDataFrame([(q,) for q in range(50)], "q long")
+    found = retrieval.joined_contexts(hits, docs, asked, "q", "id")
+    assert {r["context"] for r in found.collect()} == {"\n\n".join(f"text {n}" for n in range(4))} and found.count() == 50
+    sent = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "listagg" not in sent and "packed" in sent

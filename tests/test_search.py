@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.operators import bm25, knn
+from inkwell.operators import bm25, knn, rounds
 from inkwell.operators.closest import Rows, matches
 from inkwell.operators.embed import _parts, embed, hashed_words_encoder
 from inkwell.session import stage
@@ -217,3 +217,22 @@ def test_long_texts_are_encoded_in_parts():
     texts = pa.array(["a" * n for n in (10, 0, 90, 5, 5, 300, 1)])
     parts = list(_parts(texts, 3, 100))
     assert parts == [(0, 3), (3, 5), (5, 6), (6, 7)] and list(_parts(texts.slice(0, 0), 3, 100)) == []
+
+
+@pytest.mark.parametrize("how", [{"pivots": 6}, {"pivots": 2}])
+def test_rounds_of_blocks_equal_exact_search(spark, vectors, monkeypatch, how):
+    """Cells in several blocks, the hot one dealt over some of them; a query once went to a shuffle for every cell it reached."""
+    frame, rows = vectors
+    monkeypatch.setattr(knn, "HELD_VALUES", 200)
+    plans = []
+    monkeypatch.setattr(knn, "in_rounds", lambda asked, *rest: plans.append(asked) or rounds.in_rounds(asked, *rest))
+    hits = knn.knn_join(frame, frame, 4, **OPTIONS, max_broadcast_queries=0, **how)
+    assert found(hits) == brute(rows, 4)
+    assert plans[0].count() == 300  # a row for each usable query, whatever it reaches
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_dealt_blocks_hold_no_more_than_told():
+    first, parts, n = rounds.dealt(np.array([3, 4, 25, 0, 9, 2]), 10)
+    assert (first.tolist(), parts.tolist(), n) == ([0, 0, 1, 4, 4, 5], [1, 1, 3, 1, 1, 1], 6)
+    assert rounds.dealt(np.array([5]), 10)[2] == 1 and rounds.dealt(np.array([30]), 10)[2] == 3
