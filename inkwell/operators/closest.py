@@ -166,21 +166,13 @@ def blocks(ids: np.ndarray, rows: np.ndarray, k: int, skip_same: bool, length: f
     return [Closest(ids[s : s + BLOCK], rows[s : s + BLOCK], k, skip_same, length=length) for s in range(0, len(ids), BLOCK)]
 
 
-def matches(queries: Rows, corpus: Rows, k: int, skip_same: bool, floor: np.ndarray | None = None, probed: np.ndarray | None = None, parts: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
-    """The k best of the corpus for each query, block by block.
-
-    With `parts`, the part of each corpus row, a query meets those parts only that are true in its row of `probed`.
-    """
-    if parts is None:
-        groups = [(None, corpus.without_copies(k + skip_same))]
-    else:
-        groups = [(part, corpus.take(np.flatnonzero(parts == part)).without_copies(k + skip_same)) for part in np.unique(parts).tolist()]
+def matches(queries: Rows, corpus: Rows, k: int, skip_same: bool, floor: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """The k best of the corpus for each query, block by block."""
+    corpus = corpus.without_copies(k + skip_same)
     for start in range(0, len(queries), BLOCK):
         block = queries.part(start, start + BLOCK)
         best = Closest(block.ids, block.dense(), k, skip_same, None if floor is None else floor[start : start + BLOCK])
-        for part, rows in groups:
-            who = None if part is None else np.flatnonzero(probed[start : start + BLOCK, part])
-            for at in range(0, len(rows), TILE):
-                tile = rows.part(at, at + TILE)
-                best.add(tile.ids, tile.dense(), who)
+        for at in range(0, len(corpus), TILE):
+            tile = corpus.part(at, at + TILE)
+            best.add(tile.ids, tile.dense())
         yield best.frame()
